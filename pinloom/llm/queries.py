@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinloom.llm import cooccurrence, records, similar
+from pinloom.llm import cooccurrence, mixing, personal, records, similar, tokens
 from pinloom.model import clean_pins
 from pinloom.shipping import ship
 
@@ -93,3 +93,29 @@ def _(s, d):
 @query("p4_copies", SAME + "SELECT keep_id, min(cost) AS cost, min(len(vs))::INT AS n_vertices, count(*) AS copies FROM g GROUP BY keep_id")
 def _(s, d):
     return records.collapse(table(s, d, "net_records"))[1].select("keep_id", "cost", "n_vertices", "copies")
+
+
+@query("p6_ids")
+def _(s, d):
+    return tokens.encode_texts(table(s, d, "documents"))
+
+
+@query("p7_mix")
+def _(s, d):
+    mixture, shares = mixing.mix_sources(table(s, d, "documents"), table(s, d, "mix_targets"))
+    return mixture.join(F.broadcast(shares.select("source", "target_share", "reached_share")), "source")
+
+
+@query("p7_shares")
+def _(s, d):
+    return mixing.mix_sources(table(s, d, "documents"), table(s, d, "mix_targets"))[1]
+
+
+@query("p8_found")
+def _(s, d):
+    return personal.find_personal(table(s, d, "documents"))
+
+
+@query("p8_redacted")
+def _(s, d):
+    return personal.redact_personal(table(s, d, "documents"))

@@ -20,13 +20,15 @@ from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pinloom.functions.columns import mixed
 from pinloom.operators.skew import heavy_keys
+from pinloom.storage import durable
 
 U = np.uint64
 
@@ -74,6 +76,9 @@ def _labels(threshold: Fraction, least: int, miss: float, most: int):
             np.minimum(trees, most, out=trees)
             trees[sizes["rare"] == 0] = 0
             begin = {c: np.cumsum(s) - s for c, s in sizes.items()}
+            bits = np.zeros(len(ids), U)
+            for c in ("rare", "common"):
+                np.bitwise_or.at(bits, np.repeat(np.arange(len(ids)), sizes[c]), U(1) << (mix(values[c], 3000) & U(63)))
             for t in range(int(trees.max()) if len(trees) else 0):
                 rows = np.flatnonzero(trees > t)
                 at = _ranges(begin["rare"][rows], sizes["rare"][rows])
@@ -88,7 +93,7 @@ def _labels(threshold: Fraction, least: int, miss: float, most: int):
                         label[some] += np.add.reduceat(np.where(before, mix(over, t + 1000), U(0)), np.cumsum(count) - count)
                 with np.errstate(over="ignore"):
                     key = mix(label, t + 2000)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[rows]), pa.array(n[rows].astype(np.int32))], names=["label", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[rows]), pa.array(n[rows].astype(np.int32)), pa.array(bits[rows].view(np.int64))], names=["label", "id", "n", "bits"])
 
     return run
 
@@ -114,37 +119,55 @@ def similar_classes(
     """
     ratio = Fraction(threshold).limit_denominator(1000)
     distinct = pairs.where("id is not null and value is not null").select("id", "value").distinct()
-    # large records: a bounded number of candidates, counted exactly
-    floor = F.greatest(F.lit(large), F.col("rows") * share)
-    rows = distinct.agg(F.count(F.lit(1)).alias("rows"))
+    spark = pairs.sparkSession
+    # large records: as many rows as heavy keys at most, counted exactly
     candidates = heavy_keys(distinct, "id", max(share * float(ratio), 4 / 4096), 4096).select("id")
-    degree = distinct.join(F.broadcast(candidates), "id").groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(rows))
-    big = degree.where((F.col("n") >= floor * float(ratio)) & (F.col("n") >= least)).select("id", "n", (F.col("n") >= floor).alias("huge"))
-    small = distinct.join(F.broadcast(big.where("huge").select("id")), "id", "left_anti")
+    floor = F.greatest(F.lit(large), F.col("rows") * share)
+    degree = distinct.join(F.broadcast(candidates), "id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    counted = degree.join(F.broadcast(distinct.agg(F.count(F.lit(1)).alias("rows")))).where((F.col("n") >= floor * float(ratio)) & (F.col("n") >= least))
+    big_rows = [tuple(r) for r in counted.select("id", "n", F.col("n") >= floor).collect()]
+    big = spark.createDataFrame(big_rows, "id bigint, n bigint, huge boolean")
+    huge = spark.createDataFrame([r[:1] for r in big_rows if r[2]], "id bigint")
 
-    common = _frequent_values(distinct, frequent)
-    marked = small.join(common, "value", "left")
+    marked = distinct.join(F.broadcast(huge), "id", "left_anti").join(_frequent_values(distinct, frequent), "value", "left")
     rare, often = F.when(F.col("often").isNull(), F.col("value")), F.when(F.col("often"), F.col("value"))
-    sets = marked.groupBy("id").agg(
+    sets = durable(marked.groupBy("id").agg(
         F.collect_list(rare).alias("rare"), F.collect_list(often).alias("common"), F.count(F.lit(1)).cast("int").alias("n"),
         F.bit_xor(mixed("value", 11)).alias("f1"), F.bit_xor(mixed("value", 23)).alias("f2"),
-    ).where(F.col("n") >= least)
+    ).where(F.col("n") >= least))
     classes = _classes(sets.select("id", "n", "f1", "f2"))
-    own = classes.where("id = class_id").select("id")
-    whole = sets.join(own, "id", "left_semi").select("id", "n", "rare", "common")
+    copies = classes.where("id <> class_id").select("id")
+    whole = sets.join(copies, "id", "left_anti").select("id", "n", "rare", "common")
+
+    labels = whole.select("id", "rare", "common").mapInArrow(_labels(ratio, least, miss, most_trees), "label bigint, id bigint, n int, bits bigint")
+    near = labels.groupBy("label").agg(F.collect_list(F.struct("id", "n", "bits")).alias("m")).where(F.size("m") > 1)  # at most `frequent` members
+    found = near.select(F.explode(F.expr(f"flatten(transform(m, a -> transform(filter(m, b -> a.id < b.id and {_fits(ratio)}), b -> struct(a.id as a, b.id as b))))")).alias("p")).select("p.a", "p.b")
+    hard = whole.where(_may_be_hard(ratio, miss, most_trees))
+    if not hard.isEmpty():
+        found = found.unionByName(_among_frequent(hard, ratio, least, miss, most_trees))
+
+    values = sets.select("id", "n", F.concat("rare", "common").alias("values"))
+    both = found.distinct().join(values.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("values").alias("va")), "a").join(
+        values.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("values").alias("vb")), "b")
+    shared = both.select("a", "b", "na", "nb", F.size(F.array_intersect("va", "vb")).cast("bigint").alias("shared"))
+    if any(r[2] for r in big_rows):
+        shared = shared.unionByName(_among_large(distinct, big, ratio))
+        classes = classes.unionByName(big.where("huge").select("id", F.col("id").alias("class_id"), F.col("n").cast("int")))
+    return classes, _above(shared, ratio)
 
-    labels = whole.select("id", "rare", "common").mapInArrow(_labels(ratio, least, miss, most_trees), "label bigint, id bigint, n int")
-    near = labels.groupBy("label").agg(F.collect_list(F.struct("id", "n")).alias("m")).where(F.size("m") > 1)  # at most `frequent` members
-    fits = f"least(a.n, b.n) * {ratio.denominator}L >= greatest(a.n, b.n) * {ratio.numerator}L"
-    found = near.select(F.explode(F.expr(f"flatten(transform(m, a -> transform(filter(m, b -> a.id < b.id and {fits}), b -> struct(a.id as a, b.id as b))))")).alias("p")).select("p.a", "p.b")
-    found = found.unionByName(_among_frequent(whole, ratio, least, miss, most_trees)).distinct()
 
-    values = whole.select("id", "n", F.concat("rare", "common").alias("values"))
-    both = found.join(values.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("values").alias("va")), "a").join(
-        values.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("values").alias("vb")), "b")
-    counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("va", "vb")).cast("bigint").alias("shared"))
-    similar = _above(counted.unionByName(_among_large(distinct, big, ratio)), ratio)
-    return classes.select("id", "class_id", "n").unionByName(big.where("huge").select("id", F.col("id").alias("class_id"), F.col("n").cast("int"))), similar
+def _fits(ratio: Fraction) -> str:
+    """What two similar records a and b satisfy for certain: near sizes, and bitmaps that differ in no more places
+    than their sets differ in values, since a value sets one bit."""
+    less, more = ratio.denominator - ratio.numerator, ratio.denominator + ratio.numerator
+    return (f"least(a.n, b.n) * {ratio.denominator}L >= greatest(a.n, b.n) * {ratio.numerator}L "
+            f"and bit_count(a.bits ^ b.bits) * {more}L <= (a.n + b.n) * {less}L")
+
+
+def _may_be_hard(ratio: Fraction, miss: float, most: int) -> Column:
+    """Holds for every record that `most` trees may not serve: n * threshold - p over n - p bounds its agreement."""
+    agree, p = -math.expm1(math.log(miss) / most), F.size("common")
+    return (p > 0) & (F.col("n") * float(ratio) - p < agree * (F.col("n") - p) + 1e-9)
 
 
 def _classes(prints: DataFrame) -> DataFrame:
@@ -154,19 +177,24 @@ def _classes(prints: DataFrame) -> DataFrame:
     return joined.select("id", F.coalesce("class_id", "id").alias("class_id"), "n")
 
 
-def _frequent_values(distinct: DataFrame, frequent: int, bound: int = 100_000) -> DataFrame:
+def _frequent_values(distinct: DataFrame, frequent: int, bound: int = 20_000) -> DataFrame:
     """(value, often) of the values that more than `frequent` records hold; broadcast if there are at most `bound`."""
-    common = distinct.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > frequent).select("value", F.lit(True).alias("often"))
-    return F.broadcast(common) if common.limit(bound + 1).count() <= bound else common
+    common = distinct.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > frequent).select("value")
+    first = common.limit(bound + 1).collect()
+    if len(first) > bound:
+        return common.withColumn("often", F.lit(True))
+    return F.broadcast(distinct.sparkSession.createDataFrame([(r[0], True) for r in first], "value bigint, often boolean"))
 
 
-def _among_frequent(whole: DataFrame, ratio: Fraction, least: int, miss: float, most: int) -> DataFrame:
+def _among_frequent(may_be: DataFrame, ratio: Fraction, least: int, miss: float, most: int) -> DataFrame:
     """(a, b): candidates among the records that trees can't serve, from an exact prefix join.
 
     Ordered by rarity, two sets above the threshold share one of their first n - ceil(threshold * n) + 1 values.
     """
-    needs = F.pandas_udf(lambda n, p: n.combine(p, lambda a, b: trees_for(int(a), int(b), ratio, least, miss, most) > most).astype(bool), "boolean")
-    hard = whole.where(F.size("common") > 0).where(needs("n", F.size("common")))
+    def needs(n: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([trees_for(int(a), int(b), ratio, least, miss, most) > most for a, b in zip(n, p)], dtype=bool)
+
+    hard = may_be.where(F.pandas_udf(needs, "boolean")("n", F.size("common")))
     held = hard.select("id", "n", F.explode(F.concat("rare", "common")).alias("value"))
     order = held.groupBy("value").agg(F.count(F.lit(1)).alias("c"))
     first = F.row_number().over(W.partitionBy("id").orderBy("c", "value"))
