@@ -2,11 +2,11 @@
 
 A classifier, fitted on a bounded sample of the rows that name their source, gives every document soft memberships in
 the domains (the named sources). Each document then gets a rate, how often it is to be used, between 0 and the most
-repeats its source allows. The rates solve a least-squares problem by projected gradient: the tokens of each source,
+repeats its source allows and needs. The rates solve a least-squares problem by projected gradient: the tokens of each source,
 and with a smaller weight the expected tokens of each domain under the memberships, are to be the target share of the
 total. Documents with equal source and equal memberships (rounded to a grid) always have equal rates, so the sums that
 the gradient needs are taken once, distributed, and the iterations run on a table whose size depends on the grid only.
-Rates are turned into whole copies so that every source ends within one document of its share.
+Rates are turned into whole copies so that every source ends within half a document of its share.
 """
 
 from __future__ import annotations
@@ -138,6 +138,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     part = part / part.sum() if part.sum() else part
     total = float(total_tokens) if total_tokens is not None else min((cap[active] * have[active] / part[active]).tolist(), default=0.0)
     wanted = np.floor(np.minimum(part * total, cap * have) + 1e-6)
+    # nothing is repeated that need not be: a source with enough tokens uses no document twice
+    cap = np.minimum(cap, np.maximum(1, np.ceil(wanted / np.maximum(have, 1) - 1e-9)))
     spark = documents.sparkSession
     grid = np.array([[int(x) for x in g["domain"].split(",")] for g in groups]).reshape(len(groups), len(domains)) / GRID
     rates = solve_rates(tokens, source, grid, cap[source], wanted) if groups else np.zeros(0)
@@ -158,10 +160,10 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     before = ranked.groupBy("source").agg(F.sum("grow").alias("s"))
     order = [(d, i) for i, d in enumerate(domains)]
     offset = before.join(F.broadcast(spark.createDataFrame(order, "source string, i int")), "source").withColumn("offset", F.sum("s").over(W.orderBy("i")) - F.col("s")).select("source", "offset")
-    taken = total_in.join(F.broadcast(offset), "source").withColumn("copies", (F.col("base") + ((F.col("grow") > 0) & (F.col("filled") - F.col("offset") <= F.col("room"))).cast("int")).cast("bigint"))
+    taken = total_in.join(F.broadcast(offset), "source").withColumn("copies", (F.col("base") + ((F.col("grow") > 0) & (F.col("filled") - F.col("offset") - F.col("grow") / 2 < F.col("room"))).cast("int")).cast("bigint"))
     mixture = durable(taken.where("copies > 0").select("doc_id", "source", "n_tokens", "copies"))
     reached = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("reached_tokens"))
-    goal = spark.createDataFrame([(d, float(s), int(c), int(h), int(w)) for d, s, c, h, w in zip(domains, share, cap, have, wanted)], "source string, target_share double, max_repeats int, available_tokens bigint, wanted_tokens bigint")
+    goal = spark.createDataFrame([(d, float(s), int(r[2]), int(h), int(w)) for d, s, r, h, w in zip(domains, share, rows, have, wanted)], "source string, target_share double, max_repeats int, available_tokens bigint, wanted_tokens bigint")
     shares = goal.join(reached, "source", "left").withColumn("reached_tokens", F.coalesce("reached_tokens", F.lit(0)).cast("bigint"))
     everything = shares.agg(F.sum("reached_tokens").alias("all"))
     shares = shares.join(F.broadcast(everything)).withColumn("reached_share", F.when(F.col("all") > 0, F.round(F.col("reached_tokens") / F.col("all"), 9)).otherwise(F.lit(0.0))).drop("all")
