@@ -158,15 +158,12 @@ def fit_skip(model: Model, edges: list[list[tuple[int, int]]], golds: list[list[
     model.skip = np.clip(np.log(p / chance), -most, most)
 
 
-def label(model: Model, features: list[list[int]], lengths: np.ndarray, edges: list[list[tuple[int, int]]], rounds: int = 3, limits: np.ndarray | None = None) -> np.ndarray:
-    """A label number for each of the concatenated tokens of several texts.
+def label(model: Model, scores: np.ndarray, lengths: np.ndarray, edges: list[list[tuple[int, int]]], rounds: int = 3) -> np.ndarray:
+    """A label number for each of the concatenated tokens of several texts with scores (tokens, labels).
 
-    `limits` adds fixed scores (tokens, labels). Texts with skip edges get `rounds` rounds of messages, each edge
-    sending in both directions what the chain and the other edges say about its end.
+    Texts with skip edges get `rounds` rounds of messages, each edge sending in both directions what the chain and the
+    other edges say about its end.
     """
-    scores = model.scores(features)
-    if limits is not None:
-        scores = scores + limits
     padded, flat = pad(scores, lengths)
     longest, k = padded.shape[1], len(model.labels)
     rows = np.array([i for i, e in enumerate(edges) if e], np.int64)

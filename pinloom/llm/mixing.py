@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 
 from pinloom.llm.tokens import FOLDER, VOCABULARY, encoder
 from pinloom.operators.balance import running_total
+from pinloom.partitions import spread
 from pinloom.storage import durable
 
 BUCKETS = 4096
@@ -127,7 +128,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
             keys = [",".join(map(str, memberships(i, model))) for i in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([len(i) for i in ids], pa.int64()), pa.array(keys, pa.string())], names=["doc_id", "source", "n_tokens", "domain"])
 
-    sized = durable(named.mapInArrow(measure, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, source string, n_tokens bigint, domain string").where("n_tokens > 0"))
+    sized = durable(spread(named).mapInArrow(measure, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, source string, n_tokens bigint, domain string").where("n_tokens > 0"))
     groups = sized.groupBy("source", "domain").agg(F.sum("n_tokens").alias("tokens")).collect()  # a few sources times the grid's points
     share, cap = np.array([r[1] for r in rows]), np.array([max(0, r[2]) for r in rows], float)
     source = np.array([domains.index(g["source"]) for g in groups], np.int64)

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 
 from pinloom.llm import crf
 from pinloom.llm.personal_training import training_texts
+from pinloom.partitions import spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 LABELS = ["O", "B-email", "B-phone", "I-phone", "B-id_number", "I-id_number", "B-address", "I-address", "B-name", "I-name"]
-PIECE = 400
 
 GAP = r"[     ]"
 SIGN = rf"(?:@|{GAP}?[\[({{]{GAP}?at{GAP}?[\])}}]{GAP}?)"
@@ -43,6 +43,8 @@ TOKEN = regex.compile(
     |(?P<mark>\S)""",
     regex.VERBOSE | regex.IGNORECASE,
 )
+GAPS, DIGITS, HOST_DIGIT = regex.compile(GAP), regex.compile(r"\d"), regex.compile(r"@[0-9]")
+LOCAL_END, LOCAL_CUT = regex.compile(r"[@\s\[({]"), regex.compile(r"[._+\-\d]+")
 LAST_GROUP = regex.compile(rf"{GAP}(\d+)$")
 FOLLOWED = regex.compile(rf"{GAP}[^\W\d_]+")
 
@@ -69,47 +71,54 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
-def describe(text: str, tokens: list[tuple[int, int, str]]) -> list[list[str]]:
-    """The feature names of each token: words, endings, shapes and what stands around."""
-    base = []
-    for begin, end, kind in tokens:
-        w = text[begin:end]
-        low = w.lower()
-        if kind in ("number", "tail", "code"):
-            digits = regex.sub(r"\d", "0", low)
-            base.append((f"#{regex.sub(GAP, '_', digits)}", f"#{kind}{min(12, sum(c.isdigit() for c in w))}", kind))
-        elif kind == "mail":
-            base.append(("@", "@", kind))
-        elif kind == "url":
-            base.append(("://", "://", kind))
-        else:
-            base.append((low, shape(w), kind))
-    edge = ("^", "^", "edge")
-    get = lambda i: base[i] if 0 <= i < len(base) else edge
+@lru_cache(maxsize=1 << 16)
+def outline(w: str, kind: str) -> tuple[str, str, str]:
+    """(word, shape, type) as the features see a token: numbers only by their form, mail addresses and links not at all."""
+    if kind in ("number", "tail", "code"):
+        return f"#{GAPS.sub('_', DIGITS.sub('0', w.lower()))}", f"#{kind}{min(12, sum(c.isdigit() for c in w))}", kind
+    if kind in ("mail", "url"):
+        return kind, kind, kind
+    return w.lower(), shape(w), kind
+
+
+EDGE = ("^", "^", "edge")
+
+
+def windows(text: str, tokens: list[tuple[int, int, str]]) -> list[tuple]:
+    """Of each token all that its features depend on: the outlines of two tokens before, itself and two after, the
+    gaps around it, and of a mail address some of its form."""
+    base = [EDGE, EDGE, *(outline(text[b:e], k) for b, e, k in tokens), EDGE, EDGE]
     out = []
     for i, (begin, end, kind) in enumerate(tokens):
-        (w0, s0, _), (w1, s1, k1), (p1, t1, _), (p2, t2, _), (n2, u2, _) = base[i], get(i + 1), get(i - 1), get(i - 2), get(i + 2)
         between = text[tokens[i - 1][1]:begin] if i else "\n"
-        gap = "n" if "\n" in between else "s" if between else "0"
-        after = text[end:end + 1]
-        f = [
-            "b", f"k={kind}", f"w={w0}", f"s={s0}", f"w-1={p1}", f"w+1={w1}", f"w-2={p2}", f"w+2={n2}", f"s-1,s={t1},{s0}", f"s,s+1={s0},{s1}",
-            f"s-1,s,s+1={t1},{s0},{s1}", f"s-2,s-1,s={t2},{t1},{s0}", f"w-1,s={p1},{s0}", f"s,w+1={s0},{w1}", f"w-2,w-1={p2},{p1}", f"w+1,w+2={w1},{n2}", f"w-1,w+1={p1},{w1}",
-            f"g={gap}{'n' if after == chr(10) else ''},{s0}", f"s+1,s+2={s1},{u2}", f"w-1,w={p1},{w0}", f"w,w+1={w0},{w1}",
-        ]
-        if kind == "word":
-            f += [f"e2={low_end(w0, 2)}", f"e3={low_end(w0, 3)}", f"e4={low_end(w0, 4)}", f"a3={w0[:3]}", f"script={'c' if 'а' <= w0[0] <= 'я' or w0[0] == 'ё' else 'l'}"]
-        elif kind in ("number", "tail", "code"):
-            f += [f"{s0},w-1={p1}", f"{s0},w-2={p2},{p1}", f"{s0},w+1={w1}"]
-        elif kind == "mail":
+        gap = ("n" if "\n" in between else "s" if between else "0") + ("n" if text[end:end + 1] == "\n" else "")
+        form = None
+        if kind == "mail":
             whole = text[begin:end].lower()
-            f += [f"end={whole[-4:]}", f"at={'@' in whole}", f"before={text[begin - 1:begin]}", f"digit={bool(regex.search(r'@[0-9]', whole))}"]
-        out.append(f)
+            form = (whole[-4:], "@" in whole, text[begin - 1:begin], HOST_DIGIT.search(whole) is not None)
+        out.append((*base[i:i + 5], gap, form))
     return out
 
 
-def low_end(w: str, n: int) -> str:
-    return w[-n:]
+def features(window: tuple) -> list[str]:
+    """Feature names: words, endings, shapes and what stands around."""
+    (p2, t2, _), (p1, t1, _), (w0, s0, kind), (w1, s1, _), (n2, u2, _), gap, form = window
+    f = [
+        "b", f"k={kind}", f"w={w0}", f"s={s0}", f"w-1={p1}", f"w+1={w1}", f"w-2={p2}", f"w+2={n2}", f"s-1,s={t1},{s0}", f"s,s+1={s0},{s1}",
+        f"s-1,s,s+1={t1},{s0},{s1}", f"s-2,s-1,s={t2},{t1},{s0}", f"w-1,s={p1},{s0}", f"s,w+1={s0},{w1}", f"w-2,w-1={p2},{p1}", f"w+1,w+2={w1},{n2}", f"w-1,w+1={p1},{w1}",
+        f"g={gap},{s0}", f"s+1,s+2={s1},{u2}", f"w-1,w={p1},{w0}", f"w,w+1={w0},{w1}",
+    ]
+    if kind == "word":
+        f += [f"e2={w0[-2:]}", f"e3={w0[-3:]}", f"e4={w0[-4:]}", f"a3={w0[:3]}", f"script={'c' if 'а' <= w0[0] <= 'я' or w0[0] == 'ё' else 'l'}"]
+    elif kind in ("number", "tail", "code"):
+        f += [f"{s0},w-1={p1}", f"{s0},w-2={p2},{p1}", f"{s0},w+1={w1}"]
+    elif form:
+        f += [f"end={form[0]}", f"at={form[1]}", f"before={form[2]}", f"digit={form[3]}"]
+    return f
+
+
+def describe(text: str, tokens: list[tuple[int, int, str]]) -> list[list[str]]:
+    return [features(w) for w in windows(text, tokens)]
 
 
 def skip_edges(text: str, tokens: list[tuple[int, int, str]], reach: int = 4) -> list[tuple[int, int]]:
@@ -123,8 +132,8 @@ def skip_edges(text: str, tokens: list[tuple[int, int, str]], reach: int = 4) ->
         if kind == "word" and end - begin >= 4 and (text[begin].isupper() or kind == "word" and text[begin:end].lower() in last):
             keys = {text[begin:end].lower()}
         elif kind == "mail":
-            local = regex.split(r"[@\s\[({]", text[begin:end].lower(), maxsplit=1)[0]
-            keys = {p for p in regex.split(r"[._+\-\d]+", local) if len(p) >= 4}
+            local = LOCAL_END.split(text[begin:end].lower(), maxsplit=1)[0]
+            keys = {p for p in LOCAL_CUT.split(local) if len(p) >= 4}
         else:
             continue
         for key in list(keys)[:reach]:
@@ -134,15 +143,18 @@ def skip_edges(text: str, tokens: list[tuple[int, int, str]], reach: int = 4) ->
     return sorted(set(out))
 
 
+FITS = {
+    "mail": {"B-email"}, "url": set(), "code": {"B-id_number", "B-address", "I-address"}, "mark": {"I-name", "I-address", "B-address"},
+    "number": {"B-phone", "B-id_number", "B-address", "I-address", "I-id_number", "I-phone"}, "tail": {"B-phone", "I-phone", "B-id_number", "I-id_number", "B-address", "I-address"},
+    "word": {"B-name", "I-name", "B-address", "I-address", "I-id_number"},
+}
+ORDER = {kind: i for i, kind in enumerate(FITS)}
+LIMITS = np.array([[0.0 if x == "O" or x in fits else crf.FORBIDDEN for x in LABELS] for fits in FITS.values()])
+
+
 def limits_of(tokens: list[tuple[int, int, str]]) -> np.ndarray:
     """Scores that keep labels off the tokens that can't bear them."""
-    fits = {
-        "mail": {"B-email"}, "url": set(), "code": {"B-id_number", "B-address", "I-address"}, "mark": {"I-name", "I-address", "B-address"},
-        "number": {"B-phone", "B-id_number", "B-address", "I-address", "I-id_number", "I-phone"}, "tail": {"B-phone", "I-phone", "B-id_number", "I-id_number", "B-address", "I-address"},
-        "word": {"B-name", "I-name", "B-address", "I-address", "I-id_number"},
-    }
-    rows = {kind: np.array([0.0 if x == "O" or x in ok else crf.FORBIDDEN for x in LABELS]) for kind, ok in fits.items()}
-    return np.array([rows[kind] for _, _, kind in tokens]).reshape(len(tokens), len(LABELS))
+    return LIMITS[[ORDER[kind] for _, _, kind in tokens]]
 
 
 @lru_cache(maxsize=4)
@@ -170,12 +182,24 @@ def trained(size: int = 2400, seed: int = 11) -> crf.Model:
     return model
 
 
-def find_all(model: crf.Model, texts: list[str | None], most_tokens: int = 60_000) -> list[list[tuple[int, int, str]]]:
-    """(begin, end, kind) of the values in each text, in order.
+CACHED_WINDOWS = 1 << 17
+_windows: dict[int, dict[tuple, np.ndarray]] = {}
 
-    Texts are labelled together in groups of like length. A text of more than PIECE tokens is labelled whole as well,
-    alone, so its length costs time and memory in proportion.
-    """
+
+def score(model: crf.Model, found: list[tuple]) -> np.ndarray:
+    """(tokens, labels) scores; equal windows are scored once, as texts repeat themselves."""
+    known = _windows.setdefault(id(model), {})
+    if len(known) > CACHED_WINDOWS:
+        known.clear()
+    new = [w for w in dict.fromkeys(found) if w not in known]
+    index = model.index
+    known.update(zip(new, model.scores([[index[f] for f in features(w) if f in index] for w in new])))
+    return np.array([known[w] for w in found], np.float64)
+
+
+def find_all(model: crf.Model, texts: list[str | None], most_tokens: int = 60_000) -> list[list[tuple[int, int, str]]]:
+    """(begin, end, kind) of the values in each text, in order. Texts are labelled whole, together in groups of like
+    length, so time and memory follow the number of tokens."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     cut = [(i, t) for i, text in enumerate(texts) if text for t in [tokenize(text)] if t]
     cut.sort(key=lambda x: len(x[1]))
@@ -184,12 +208,11 @@ def find_all(model: crf.Model, texts: list[str | None], most_tokens: int = 60_00
     def run() -> None:
         if not group:
             return
-        index = model.index
-        features = [[index[f] for f in fs if f in index] for i, tokens in group for fs in describe(texts[i], tokens)]
+        scores = score(model, [w for i, tokens in group for w in windows(texts[i], tokens)])
         lengths = np.array([len(tokens) for _, tokens in group])
         edges = [skip_edges(texts[i], tokens) for i, tokens in group]
-        limits = np.concatenate([limits_of(tokens) for _, tokens in group])
-        found = crf.label(model, features, lengths, edges, limits=limits)
+        scores += np.concatenate([limits_of(tokens) for _, tokens in group])
+        found = crf.label(model, scores, lengths, edges)
         at = 0
         for i, tokens in group:
             out[i] = spans_of(tokens, [model.labels[x] for x in found[at:at + len(tokens)]])
@@ -235,7 +258,7 @@ def find_personal(documents: DataFrame, size: int = 2400) -> DataFrame:
                 at = pa.array([r[0] for r in rows], pa.int32())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(at), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "kind", "found_text"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, kind string, found_text string")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, kind string, found_text string")
 
 
 def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
@@ -264,4 +287,4 @@ def redact_personal(documents: DataFrame, size: int = 2400) -> DataFrame:
                     piece.column("doc_id"), pa.array([redact(t, s) for t, s in zip(texts, found)], pa.string()), pa.array([len(s) for s in found], pa.int64()),
                 ], names=["doc_id", "redacted", "values"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, redacted string, values bigint")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, redacted string, values bigint")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pinloom.operators.skew import skew_join
+from pinloom.partitions import spread
 
 MASK = 2**61 - 1
 
@@ -53,7 +54,7 @@ def collapse(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     broadcast, so no task gets a whole group. Should a record differ from the first of its fingerprint, those that do
     are grouped again by what they state.
     """
-    parsed = records.where("rec_id is not null").select("rec_id", "body")
+    parsed = spread(records.where("rec_id is not null").select("rec_id", "body"))
     cost, vertices = parse_record()
     stated = parsed.select("rec_id", cost.alias("cost"), vertices.alias("vertices"))
     full = stated.where("cost is not null and vertices is not null")

@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from pinloom.partitions import spread
+
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -164,4 +166,4 @@ def encode_texts(documents: DataFrame, folder: str = FOLDER, vocabulary: str = V
             ids = pa.array([encode(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, ids array<int>")
