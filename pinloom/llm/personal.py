@@ -38,6 +38,7 @@ TOKEN = regex.compile(
         |[A-Za-z][ -]?\d{{7}}[ -]?[A-Za-z]
         |\d{{1,2}}\.\d{{3}}\.\d{{3}}[ -]?[A-Za-z]
         |\d{{8}}[ -]?[A-Za-z])(?![\w]))
+    |(?P<ident>(?<!\w)(?=\w*\d)(?=\w*[^\W\d_])\w{{12,}}(?!\w))
     |(?P<number>(?:\+|\((?=\+?\d+\){GAP}?-?\d)\+?)?\d+(?:\)?{GAP}?\(\d+\){GAP}?\d+|\){GAP}?\d+|[-./]\d+|{GAP}\d+)*(?:-[IVX]+(?!\w)|-hs(?!\w)|[a-z](?!\w))?)
     |(?P<word>[^\W\d_]+(?:['’-][^\W\d_]+)*)
     |(?P<mark>\S)""",
@@ -76,11 +77,15 @@ def outline(w: str, kind: str) -> tuple[str, str, str]:
     """(word, shape, type) as the features see a token: numbers only by their form, mail addresses and links not at all."""
     if kind in ("number", "tail", "code"):
         return f"#{GAPS.sub('_', DIGITS.sub('0', w.lower()))}", f"#{kind}{min(12, sum(c.isdigit() for c in w))}", kind
-    if kind in ("mail", "url"):
+    if kind in ("mail", "url", "ident"):
         return kind, kind, kind
     return w.lower(), shape(w), kind
 
 
+def script(c: str) -> str:
+    return "latin" if c < "\u0250" else "cyrillic" if "\u0400" <= c <= "\u04ff" else "other"
+
+
 EDGE = ("^", "^", "edge")
 
 
@@ -109,7 +114,7 @@ def features(window: tuple) -> list[str]:
         f"g={gap},{s0}", f"s+1,s+2={s1},{u2}", f"w-1,w={p1},{w0}", f"w,w+1={w0},{w1}",
     ]
     if kind == "word":
-        f += [f"e2={w0[-2:]}", f"e3={w0[-3:]}", f"e4={w0[-4:]}", f"a3={w0[:3]}", f"script={'c' if 'а' <= w0[0] <= 'я' or w0[0] == 'ё' else 'l'}"]
+        f += [f"e2={w0[-2:]}", f"e3={w0[-3:]}", f"e4={w0[-4:]}", f"a3={w0[:3]}", f"script={script(w0[0])}"]
     elif kind in ("number", "tail", "code"):
         f += [f"{s0},w-1={p1}", f"{s0},w-2={p2},{p1}", f"{s0},w+1={w1}"]
     elif form:
@@ -144,7 +149,7 @@ def skip_edges(text: str, tokens: list[tuple[int, int, str]], reach: int = 4) ->
 
 
 FITS = {
-    "mail": {"B-email"}, "url": set(), "code": {"B-id_number", "B-address", "I-address"}, "mark": {"I-name", "I-address", "B-address"},
+    "mail": {"B-email"}, "url": set(), "ident": set(), "code": {"B-id_number", "B-address", "I-address"}, "mark": {"I-name", "I-address", "B-address"},
     "number": {"B-phone", "B-id_number", "B-address", "I-address", "I-id_number", "I-phone"}, "tail": {"B-phone", "I-phone", "B-id_number", "I-id_number", "B-address", "I-address"},
     "word": {"B-name", "I-name", "B-address", "I-address", "I-id_number"},
 }

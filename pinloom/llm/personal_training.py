@@ -33,7 +33,7 @@ ORDINARY = {
     "ru": "Две двери ведут в <T>; левую заедает.|Дорога в <T> длиной <0> км и почти ровная.|<0> из <0> строк прочитали, прежде чем погасла лампа.|Мы видели <0> улиц и <0> дорог у озера <L>.|Показания в <clock>: <0>.<0>, <0>.<0> и <0>/<0>.|Установите шкалу на <0> @ <0> мм и читайте страницу <0>-<0>.|Цена за метр: <0>,50; минимум <0> м; оплата <W>.|Мы не знаем, кто закрыл список <W>.|«Слишком громко, — сказала охрана, — и на <0> минут позже».|Партия <date>, счётчик <count>, прошивка <0>.<0>.<0>.|Заказ <order> заменяет заказ <order>.|Есть ли <X>, или <T> подождёт?|Если <T> заплатит до <0> числа, покрасят заново: <X>.|Никто в <T> этого не заказывал: <X>.|Метка @<tag><0> и файл <tag><0>@2x.png не используются.|Никогда не было так чисто: <X>!|<X>: <0> кг, в упаковке <0> кг.|<X>: отправка в <T> <W>.|<F>: поставка <W>, <X>.|Дождь будет <W>; под крышей держать: <X>.|<X>: <0> проверок, отмечено <0> дефектов.|<X>, <X> и <X>: один ключ.|Кто первым повернёт колесо, тот и вернёт его назад.",
 }
 # What else stands in crawled texts.
-JUNK = "for i in range(<0>):\n\tput(rows[i], '<tag>_<0>')|<0> ¦ <0>|x = [<0>, <0>]; print(x[i])|<0> <0> <0>|🚚🚚\t \tx²+y²=<0>   ≠ <0>|①② ③|????????|門箱門木火綠木箱|0x<0>b8c<0>dc|https://<tag>.test/<tag>?id=<0>&v=<0>#top|Readings&amp;nbsp;at&nbsp;<clock>: <0>.<0>|<T> &amp; <T>|• <X>: <0>"
+JUNK = "for i in range(<0>):\n\tput(rows[i], '<tag>_<0>')|<0> ¦ <0>|x = [<0>, <0>]; print(x[i])|<0> <0> <0>|🚚🚚\t \tx²+y²=<0>   ≠ <0>|①② ③|????????|門箱門木火綠木箱|0x<0>b8c<0>dc|https://<tag>.test/<tag>?id=<0>&v=<0>#top|Readings&amp;nbsp;at&nbsp;<clock>: <0>.<0>|<T> &amp; <T>|• <X>: <0>|<script>|<script>|<script>|<script> <0>|<dots>|<dots> ①②|ﬁn ½²|éäô"
 
 THINGS = {
     "en": "the green crate|the brass valve|the ferry timetable|the night shift|the glass roof|the old index|the small lathe|the spare pump|the paint store|the copper wire|the seed archive|the reading room|the water meter|the test bench|the east gate|the cable drum|the tool cabinet|the loading ramp|the heating loop|the sorting belt",
@@ -133,6 +133,12 @@ class Writer:
             return local.title().replace("+X", "+x") + "@" + domain.upper()
         return f"{local}@{domain}"
 
+    def foreign(self) -> str:
+        """Some words of random letters of another script."""
+        low, high = self.rng.choice([(0x0621, 0x064A), (0x05D0, 0x05EA), (0x03B1, 0x03C9), (0x0E01, 0x0E2E), (0x3041, 0x3090), (0xAC00, 0xB000), (0x4E00, 0x6000), (0x0905, 0x0939)])
+        letters = [chr(self.rng.randint(low, high)) for _ in range(12)]
+        return " ".join("".join(self.rng.choice(letters) for _ in range(self.rng.randint(2, 7))) for _ in range(self.rng.randint(2, 6)))
+
     def street(self, lang: str) -> str:
         lang = self.rng.choice(["en", "de", "fr", "es", "nl", "ru"]) if self.odds(0.15) else lang
         n = str(self.rng.choice([self.rng.randrange(1, 40), self.rng.randrange(1, 300)]))
@@ -171,6 +177,7 @@ class Writer:
             "W": lambda: self.pick(TIMES[lang]), "X": lambda: self.pick(THINGS[lang]), "Y": lambda: str(rng.randrange(1990, 2026)), "0": lambda: str(rng.randrange(2, 150)), "clock": lambda: self.fill("00:00"),
             "date": lambda: self.fill(rng.choice(["2000-00-00", "1900-00-00"])), "count": lambda: rng.choice([self.fill("00,000,000"), self.fill("00000000000"), self.fill("0,000,000"), self.fill("000000000")]),
             "order": lambda: self.fill(rng.choice(["0000-00-00000", "000-00-00000", "0000-00-0000", "A000/00", "00000000"])), "tag": lambda: self.pick(TAGS),
+            "script": self.foreign, "dots": lambda: rng.choice(".?-=_*") * rng.randint(3, 40),
         }[kind]
         return [(plain(), None)]
 
@@ -216,7 +223,7 @@ def training_texts(size: int, seed: int) -> list[tuple[str, list[Span]]]:
             text, spans = text[:cut], [s for s in spans if s[1] <= cut]
         if text and rng.random() < 0.05:
             text += rng.choice([" 🚚", "</p>", " <|endoftext|>", "\r\n", "   ", f" https://tannery.test/{writer.pick(TAGS)}?id={rng.randrange(9999)}&v=3#top"])
-        if rng.random() < 0.12:
+        if rng.random() < 0.18:
             parts = writer.sentence(rng.choice(JUNK.split("|")), "en")
             text += rng.choice([" ", "\n"]) + "".join(v for v, _ in parts)
         if rng.random() < 0.06:  # what text looks like after decoding with the wrong table; values that change are none
