@@ -130,3 +130,9 @@ def quality_report(h: Hypergraph, k: int) -> DataFrame:
         .join(weights)
         .select(F.lit(k).alias("k"), "n_vertices", "n_pins", "imbalance", "cutnet", "lambda_minus_one", F.expr("array_join(transform(w, x -> cast(x.weight as string)), ',')").alias("part_weights"))
     )
+
+
+def gain_range(h: Hypergraph) -> DataFrame:
+    """One row (most): the greatest summed net cost of a vertex; every gain lies between -most and most."""
+    sums = h.pins.join(h.nets, "net_id").groupBy("vertex_id").agg(F.sum("cost").alias("w"))
+    return sums.agg(F.coalesce(F.max("w"), F.lit(0)).cast("bigint").alias("most"))

@@ -170,6 +170,16 @@ def _(s, d):
     return metrics.part_weights(graph(s, d).vertices, K)
 
 
+@query("total_weight", "SELECT CAST(sum(weight) AS BIGINT) AS weight FROM v")
+def _(s, d):
+    return graph(s, d).vertices.agg(F.sum("weight").alias("weight"))
+
+
+@query("weight_range", "SELECT CAST(max(w) AS BIGINT) AS most FROM (SELECT sum(cost) AS w FROM dp JOIN n USING (net_id) GROUP BY vertex_id)")
+def _(s, d):
+    return metrics.gain_range(graph(s, d))
+
+
 @query("load_balance", "SELECT max(w) AS max_weight, CAST(sum(w) AS BIGINT) AS total_weight, round(max(w) * 8 / sum(w) - 1, 9) AS imbalance FROM (SELECT CAST(sum(weight) AS BIGINT) AS w FROM v GROUP BY part)")
 def _(s, d):
     return metrics.load_balance(graph(s, d).vertices, K)
@@ -375,6 +385,15 @@ def _(s, d):
     return moves.apply_moves(sides_of(graph(s, d)), kept)
 
 
+@query("counts_after_moves", REJECT + """, t2 AS (SELECT vertex_id FROM rj WHERE NOT rejected), u AS (SELECT vertex_id, CASE WHEN vertex_id IN (SELECT vertex_id FROM t2) THEN 1 - part ELSE part END AS part FROM s),
+touched AS (SELECT DISTINCT net_id FROM dp WHERE vertex_id IN (SELECT vertex_id FROM t2))
+SELECT net_id, count(*) FILTER (part = 0) AS c0, count(*) FILTER (part = 1) AS c1 FROM dp JOIN u USING (vertex_id) WHERE net_id IN (SELECT net_id FROM touched) GROUP BY net_id""")
+def _(s, d):
+    h = graph(s, d)
+    kept = moves.reject_unbalanced(moves.clean_moves(table(s, d, "moves")), 20_000, 20_000, 20_010, 20_010).where("not rejected")
+    return moves.changed_counts(h.pins, sides_of(h).select("vertex_id", "part"), kept)
+
+
 # Matching and contraction
 
 
@@ -383,6 +402,11 @@ def _(s, d):
     return sampling.sample_random(graph(s, d).vertices, 200)
 
 
+@query("label_histogram", "SELECT label, count(v.vertex_id) AS members FROM (SELECT unnest(range(700)) AS label) LEFT JOIN v ON label = (vertex_id % 1000003 * 7919 + 104729) % 1000003 % 700 GROUP BY label")
+def _(s, d):
+    return sampling.label_histogram(labelprop.initial_labels(graph(s, d).vertices, 700), 700)
+
+
 @query("neighbours", "SELECT a.vertex_id, b.vertex_id AS other_id, count(*) AS nets, round(sum(a.scaled), 9) AS product FROM mp a JOIN mp b USING (net_id) WHERE a.vertex_id <> b.vertex_id GROUP BY 1, 2")
 def _(s, d):
     h = graph(s, d)
