@@ -549,7 +549,7 @@ def _(s, d):
 @query("bisect_multilevel")
 def _(s, d):
     h = graph(s, d)
-    options = Options(restarts=4, klfm_max_passes=4, lp_max_iter=5, sample_size=1000, kernel_max_pins=20_000, coarsening_max_rounds=4)
+    options = Options(restarts=4, klfm_max_passes=1, lp_max_iter=5, sample_size=1000, kernel_max_pins=20_000, coarsening_max_rounds=1)
     return bisect_multilevel(h, _half(h), options)
 
 
