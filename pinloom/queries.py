@@ -456,11 +456,7 @@ def _lineage_sql() -> str:
 
 @query("lineage", _lineage_sql())
 def _(s, d):
-    at = graph(s, d).vertices.select("vertex_id", F.col("vertex_id").alias("top_id"))
-    for level in range(5):
-        m = first_matches(s, d, level).select(F.col("child_id").alias("top_id"), "parent_id")
-        at = at.join(m, "top_id", "left").select("vertex_id", F.coalesce("parent_id", "top_id").alias("top_id"))
-    return at
+    return coarsen.lineage(graph(s, d).vertices, table(s, d, "vertex_matches"))
 
 
 # Label propagation
