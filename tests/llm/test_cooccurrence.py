@@ -6,6 +6,7 @@ from itertools import combinations
 import pyarrow as pa
 
 from pinloom.llm.cooccurrence import HALF, _codes, _sum_runs, cooccurrence
+from pinloom.llm.queries import QUERIES
 
 
 def baskets(seed=4):
@@ -51,3 +52,10 @@ def test_sums_go_across_batches():
     assert out == [(1, 1), (2, 6), (3, 2)] and list(_sum_runs(iter([]))) == []
     lists = pa.RecordBatch.from_arrays([pa.array([[3, 1], [1, 2, 3], [7]], pa.list_(pa.int64()))], names=["numbers"])
     assert [tuple(r.values()) for b in _codes(iter([lists])) for r in b.to_pylist()] == [(HALF + 2, 1), (HALF + 3, 2), (2 * HALF + 3, 1)]
+
+
+def test_registered_pairs_include_those_of_one_net(spark, tmp_path):
+    rows = [(0, 1), (0, 2), (1, 2), (1, 3), (2, 2), (2, 3)]
+    spark.createDataFrame(rows, "net_id bigint, vertex_id bigint").write.parquet(f"{tmp_path}/pins.parquet")
+    got = {(r.vertex_a, r.vertex_b): (r.n_ab, r.n_a, r.n_b, r.baskets, r.lift) for r in QUERIES["p3_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): (1, 1, 3, 3, 1.0), (2, 3): (2, 3, 2, 3, 1.0)}
