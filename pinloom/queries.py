@@ -539,14 +539,13 @@ def _(s, d):
 @query("refine_rounds")
 def _(s, d):
     h = graph(s, d)
-    return refine.refine_rounds(h, sides_of(h).select("vertex_id", "part"), _half(h, 0.1), Options(), max_rounds=3)[0]
+    return refine.refine_rounds(h, sides_of(h).select("vertex_id", "part"), _half(h, 0.1), Options())[0]
 
 
 @query("bisect_multilevel")
 def _(s, d):
     h = graph(s, d)
-    options = Options(restarts=4, klfm_max_passes=1, lp_max_iter=5, sample_size=1000, kernel_max_pins=20_000, coarsening_max_rounds=1)
-    return bisect_multilevel(h, _half(h), options)
+    return bisect_multilevel(h, _half(h), Options())
 
 
 def _parts(s, d, k, metric):
