@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pinloom.model import clean_pins
 from pinloom.operators.skew import heavy_keys, skew_join
+from pinloom.storage import durable
 
 HALF = 2**32
 RUN = 1 << 20
@@ -107,7 +108,7 @@ def cooccurrence(pairs: DataFrame, largest_basket: int, least_together: int = 1,
     rows, total = incidences_within(pairs, largest_basket)
     counts = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     usable = counts.join(F.broadcast(total)).where((F.col("n") >= least_together) & (F.col("n") * F.lit(float(least_lift)) <= F.col("baskets")))
-    numbered = _numbered(usable.select("item", "n", "baskets"))
+    numbered = durable(_numbered(usable.select("item", "n", "baskets")))  # one numbering for encoding and for both ways back
     numbers = (
         skew_join(rows, numbered.select("item", "number"), "item")
         .groupBy("basket").agg(F.collect_list("number").alias("numbers")).where(F.size("numbers") > 1).select("numbers")
@@ -135,8 +136,9 @@ def cooccurrence(pairs: DataFrame, largest_basket: int, least_together: int = 1,
 def _numbered(items: DataFrame) -> DataFrame:
     """`items` with a `number` below 2^31, different for different items.
 
-    number = position in its partition * partitions + partition. The number of partitions is stated, so adaptive
-    execution keeps it, and rows are sorted: every use of the result, and every rerun of a task, numbers alike.
+    number = position in its partition * partitions + partition. How rows are spread over partitions may differ from
+    one execution to the next (adaptive execution merges partitions), so the result must be computed once and kept:
+    no two uses may number for themselves. Within one execution rows are sorted, so a rerun of a task numbers alike.
     """
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = items.repartition(parts, "item").sortWithinPartitions("item")

@@ -74,7 +74,7 @@ def _(s, d):
 
 
 @query("p3_pairs", TOGETHER + """SELECT *, round(n_ab * baskets / (n_a::DOUBLE * n_b), 9) AS lift,
-round(ln((n_ab + 0.5) * (baskets - n_a - n_b + n_ab + 0.5)::DOUBLE / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5))), 9) AS log_odds FROM r WHERE n_ab >= 2""")
+round(ln((n_ab + 0.5) * (baskets - n_a - n_b + n_ab + 0.5)::DOUBLE / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5))), 9) AS log_odds FROM r""")
 def _(s, d):
     return cooccurrence.vertex_pairs(table(s, d, "pins"), 64).withColumnsRenamed({"item_a": "vertex_a", "item_b": "vertex_b"})
 

@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import combinations
 
 import pyarrow as pa
+import pytest
 
 from pinloom.llm.cooccurrence import HALF, _codes, _sum_runs, cooccurrence
 from pinloom.llm.queries import QUERIES
@@ -41,6 +42,35 @@ def test_pruning_is_exact(spark):
     assert got == {p for p, (ab, a, b, n) in brute(64).items() if ab >= 3 and ab * n >= 2 * a * b} and got
 
 
+@pytest.mark.parametrize("threshold,partitions,adaptive", [("-1", "64", "true"), ("-1", "4", "true"), ("-1", "64", "false"), ("10485760", "64", "true")])
+def test_items_are_numbered_alike_at_every_use(spark, threshold, partitions, adaptive):
+    """Without broadcasts, and with partitions that adaptive execution merges differently in each join."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": threshold, "spark.sql.shuffle.partitions": partitions, "spark.sql.adaptive.enabled": adaptive,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    rng = random.Random(9)
+    rows = [(b, rng.randrange(50) if rng.random() < 0.3 else rng.randrange(6000)) for b in range(4000) for _ in range(6)]
+    sets = {}
+    for b, i in rows:
+        sets.setdefault(b, set()).add(i)
+    want = Counter(p for s in sets.values() for p in combinations(sorted(s), 2))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {(r.item_a, r.item_b): r.n_ab for r in cooccurrence(spark.createDataFrame(rows, "basket bigint, item bigint"), 64, 2).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {p: n for p, n in want.items() if n >= 2}
+
+
+def test_no_numbering_is_left_to_later_executions(spark):
+    plan = cooccurrence(frame(spark), 64)._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" not in plan and "SPARK_PARTITION_ID" not in plan.upper()
+
+
 def test_no_baskets(spark):
     assert cooccurrence(frame(spark).limit(0), 64).count() == 0
     assert cooccurrence(frame(spark).where("basket = 1000"), 64).count() == 0
