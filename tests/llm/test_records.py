@@ -1,6 +1,9 @@
 import random
 
-from pinloom.llm.records import collapse
+from pyspark.sql import functions as F
+
+from pinloom.llm import records
+from pinloom.llm.records import collapse, collapse_rows
 
 STYLES = [
     lambda c, v: f"cost := {c} vertices := {' '.join('v' + x for x in v)}.",
@@ -40,3 +43,28 @@ def test_records_that_state_nothing(spark):
     assert sorted(map(tuple, members.collect())) == [(i, i) for i in range(1, 7)]
     assert {r.keep_id: r.n_vertices for r in kept.collect()}[6] == 20000
     assert collapse(spark.createDataFrame([], "rec_id bigint, body string"))[0].count() == 0
+
+
+def test_any_table_and_repeated_values(spark):
+    rows = [(1, "O'Neil & Co.", 7, ["x", "Y"]), (2, " o neil CO ", 7, ["y", "X"]), (3, "o neil co", 70, ["x", "y"]), (4, "ONEILCO", 7, ["x", "y", "y"]),
+            (5, "oneilco", 7, ["Y", "y", "X"]), (6, None, None, None), (7, None, None, None), (8, None, 7, None), (9, "", 7, [None]), (10, "", 7, [])]
+    df = spark.createDataFrame(rows, "rec_id bigint, `full name` string, n int, `pairs` array<string>").withColumn("h", F.lit(1)).withColumn("keep_id", F.lit(1))
+    got = dict(map(tuple, collapse_rows(df, ["full name", "n", "pairs"]).collect()))
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 9, 10: 9}
+
+
+def test_records_of_one_fingerprint_are_compared(spark, monkeypatch):
+    """With a first fingerprint that says nothing, the comparison and the second one decide."""
+    real = records.fingerprint
+    monkeypatch.setattr(records, "fingerprint", lambda pairs="_pairs", seed=1: F.when(F.col(pairs).isNotNull(), F.lit(5).cast("bigint")) if seed == 1 else real(pairs, seed))
+    bodies = ["cost 1 vertices v1 v2", "cost 2 vertices v1", "vertices v2 v1 cost 1", "cost 2 vertices v1", "cost 2 vertices v1 v2"]
+    members, _ = collapse(spark.createDataFrame(list(enumerate(bodies)), "rec_id bigint, body string"))
+    assert dict(map(tuple, members.collect())) == {0: 0, 1: 1, 2: 0, 3: 1, 4: 4}
+
+
+def test_copies_are_found_without_sorting(spark):
+    rows = [(i, f"cost {i % 7} vertices v{i % 5}") for i in range(100)]
+    df = spark.createDataFrame(rows, "rec_id bigint, body string")
+    prints = records.record_pairs(df).select("rec_id", records.fingerprint().alias("h"))
+    plan = prints.groupBy("h").agg(F.min("rec_id"), F.count("*"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
