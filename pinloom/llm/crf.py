@@ -17,21 +17,19 @@ FORBIDDEN = -1e4
 
 @dataclass
 class Model:
+    """weights: (features + 1, labels); the last row is 0 and stands for a feature that counts for nothing."""
+
     labels: list[str]
-    index: dict[str, int]
     weights: np.ndarray
     transitions: np.ndarray
     begin: np.ndarray
     skip: np.ndarray
 
-    def scores(self, features: list[list[int]]) -> np.ndarray:
-        """(tokens, labels) summed weights of each token's features."""
-        sizes = np.fromiter(map(len, features), np.int64, len(features))
-        flat = np.fromiter((f for fs in features for f in fs), np.int64, int(sizes.sum()))
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        """(tokens, labels) summed weights of each token's features, given as (tokens, columns) row numbers."""
         out = np.zeros((len(features), len(self.labels)))
-        some = np.flatnonzero(sizes)
-        if len(some):
-            out[some] = np.add.reduceat(self.weights[flat], np.cumsum(sizes[some]) - sizes[some], axis=0)
+        for column in features.T:
+            out += self.weights[column]
         return out
 
 
@@ -94,65 +92,67 @@ def best_path(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
     return out
 
 
-def fit(texts: list[list[list[str]]], golds: list[list[str]], labels: list[str], epochs: int = 6, rate: float = 0.2, decay: float = 1e-6, least: int = 2, seed: int = 7, batch: int = 48) -> Model:
-    """Chain weights by AdaGrad. `texts`: the feature names of each token. Features seen fewer than `least` times are dropped."""
-    seen: dict[str, int] = {}
-    for text in texts:
-        for token in text:
-            for f in token:
-                seen[f] = seen.get(f, 0) + 1
-    index = {f: i for i, f in enumerate(sorted(f for f, c in seen.items() if c >= least))}
-    number = {label: i for i, label in enumerate(labels)}
+def fit(
+    texts: list[np.ndarray], golds: list[np.ndarray], labels: list[str], size: int, epochs: int = 6, rate: float = 0.2, decay: float = 1e-6, least: int = 2, seed: int = 7, batch: int = 64,
+    lexical: list[int] | None = None, dropped: float = 0.0,
+) -> Model:
+    """Chain weights by AdaGrad. `texts`: of each text the (tokens, columns) feature numbers below `size`.
+
+    Features seen fewer than `least` times are not learnt. In training, columns of `lexical` are hidden with the
+    probability `dropped`, so that the others learn to do without them, as they must in texts of other wording.
+    """
     fixed, begin = allowed(labels)
     k = len(labels)
-    model = Model(labels, index, np.zeros((len(index), k)), fixed.copy(), begin.copy(), np.zeros((k, k)))
-    known = [[[index[f] for f in token if f in index] for token in text] for text in texts]
-    gold = [np.array([number[x] for x in g]) for g in golds]
-    past, past_step = np.full(model.weights.shape, 1e-6), np.full((k, k), 1e-6)
+    seen = np.zeros(size + 1, np.int64)
+    for text in texts:
+        np.add.at(seen, text.ravel(), 1)
+    rare = seen < least
+    known = [np.where(rare[text], size, text) for text in texts]
+    model = Model(labels, np.zeros((size + 1, k), np.float32), fixed.copy(), begin.copy(), np.zeros((k, k)))
+    past, past_step = np.full((size + 1, k), 1e-6, np.float32), np.full((k, k), 1e-6)
     rng = np.random.default_rng(seed)
     free = fixed == 0
+    by_length = np.argsort([len(t) for t in texts], kind="stable")
+    chunks = [by_length[i:i + batch] for i in range(0, len(texts), batch)]
     for _ in range(epochs):
-        order = rng.permutation(len(texts))
-        order = np.concatenate([c for c in np.array_split(order[np.argsort([len(texts[i]) for i in order], kind="stable")], max(1, len(order) // batch))]) if len(order) else order
-        chunks = [order[i:i + batch] for i in range(0, len(order), batch)]
-        rng.shuffle(chunks)
-        for chunk in chunks:
-            tokens = [f for i in chunk for f in known[i]]
+        for c in rng.permutation(len(chunks)):
+            chunk = chunks[c]
+            features = np.concatenate([known[i] for i in chunk])
+            for column in lexical or ():
+                features[rng.random(len(features)) < dropped, column] = size
             lengths = np.array([len(known[i]) for i in chunk])
-            padded, flat = pad(model.scores(tokens), lengths)
+            padded, flat = pad(model.scores(features), lengths)
             forward, backward, z = forward_backward(padded, lengths, model.transitions, model.begin)
             node = np.exp(forward + backward - z[:, None, None]).reshape(-1, k)[flat]
-            truth = np.concatenate([gold[i] for i in chunk])
+            truth = np.concatenate([golds[i] for i in chunk])
             node[np.arange(len(truth)), truth] -= 1
-            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            ids = np.fromiter((f for t in tokens for f in t), np.int64, int(sizes.sum()))
-            grad = np.zeros_like(model.weights)
-            np.add.at(grad, ids, np.repeat(node, sizes, axis=0))
-            touched = np.unique(ids)
-            g = grad[touched] + decay * len(texts) / batch * model.weights[touched]
-            past[touched] += g * g
-            model.weights[touched] -= rate * g / np.sqrt(past[touched])
+            touched, inverse = np.unique(features, return_inverse=True)
+            inverse, width = inverse.ravel(), features.shape[1]
+            grad = np.stack([np.bincount(inverse, weights=np.repeat(node[:, label], width), minlength=len(touched)) for label in range(k)], axis=1)
+            grad += decay * len(texts) / batch * model.weights[touched]
+            past[touched] += grad * grad
+            model.weights[touched] -= rate * grad / np.sqrt(past[touched])
+            model.weights[size] = 0
             step = np.zeros((k, k))
             for t in range(1, padded.shape[1]):
                 on = t < lengths
                 edge = forward[on, t - 1, :, None] + model.transitions + (padded[on, t] + backward[on, t])[:, None, :] - z[on, None, None]
                 step += np.exp(edge).sum(axis=0)
             for i in chunk:
-                np.add.at(step, (gold[i][:-1], gold[i][1:]), -1)
+                np.add.at(step, (golds[i][:-1], golds[i][1:]), -1)
             step *= free
             past_step += step * step
             model.transitions -= rate * step / np.sqrt(past_step)
     return model
 
 
-def fit_skip(model: Model, edges: list[list[tuple[int, int]]], golds: list[list[str]], most: float = 1.5) -> None:
+def fit_skip(model: Model, edges: list[list[tuple[int, int]]], golds: list[np.ndarray], most: float = 1.5) -> None:
     """The skip potential: log of how much more often two labels meet on skip edges than they would by chance."""
-    number = {label: i for i, label in enumerate(model.labels)}
     met = np.full((len(model.labels),) * 2, 0.5)
     for pairs, gold in zip(edges, golds):
         for i, j in pairs:
-            met[number[gold[i]], number[gold[j]]] += 1
-            met[number[gold[j]], number[gold[i]]] += 1
+            met[gold[i], gold[j]] += 1
+            met[gold[j], gold[i]] += 1
     p = met / met.sum()
     chance = p.sum(axis=1, keepdims=True) * p.sum(axis=0, keepdims=True)
     model.skip = np.clip(np.log(p / chance), -most, most)

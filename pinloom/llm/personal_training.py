@@ -1,8 +1,10 @@
-"""Labelled training texts for the field that finds personal values: sentences of six languages with typed slots.
+"""Labelled training texts for the field that finds personal values: texts of six languages with typed slots.
 
-Slots: N a person's name, E a mail address, P a phone number, I an identity number, A a street address; the rest is
-ordinary text: T a town, F a firm, L a lake, W a time, Y a year, 0 a number, X a thing. Values are put together at
-random from syllables and formats, so words of names carry little beyond their form.
+The forms are written for this purpose from general knowledge of letters, forms, tickets and lists; they are not taken
+from any table. Slots: N a person's name, E a mail address, P a phone number, I an identity number, A a street
+address; the rest is ordinary text: T a town, F a firm, G a lake, river or hill, D a date, H a time, Y a year, n a
+number, m an amount, R a reference that is no person's number, X a thing. Beside whole sentences, lists of values with
+or without labels are put together at random.
 """
 
 from __future__ import annotations
@@ -12,68 +14,502 @@ import re
 
 Span = tuple[int, int, str]
 KIND = {"N": "name", "E": "email", "P": "phone", "I": "id_number", "A": "address"}
+LANGUAGES = ("en", "de", "fr", "es", "nl", "ru")
 
-# Sentences with personal values, by language, separated by |.
+# Sentences with personal values, one a line.
 PERSONAL = {
-    "en": "Please write to <N> at <E> before <0> o'clock.|Call <N> (<P>) about <X>.|Lost card: <I>, owner <N>, reply <E>.|Since <Y> <N> lives at <A>.|<N> lives at <A>.|Replies sent to <E> are read <W>.|The night desk answers on <P> <W>.|The form gives <I> as the applicant's identity number.|<N>, <I>, asked for a second copy <W>.|Deliver <X> to <A>, <T>.|<N> and <N> did not agree on <X>.|<N> signed the minutes in <T>.|Regards,\n<N>\n<A>\nTel. <P>|name=<N>;phone=<P>;id=<I>;n=<0>",
-    "de": "Bitte schreiben Sie <N> unter <E> vor <0> Uhr.|Anruf bei <N> (<P>) wegen: <X>.|Karte verloren: <I>, Inhaber <N>, Antwort <E>.|Seit <Y> wohnt <N> hier: <A>.|Antworten an <E> werden <W> gelesen.|Die Nachtstelle ist <W> unter <P> erreichbar.|Im Formular steht <I> als Ausweisnummer.|<N>, <I>, bat <W> um eine zweite Kopie.|Lieferung (<X>) an <A>, <T>.|<N> und <N> waren uneins: <X>.|<N> hat das Protokoll in <T> unterzeichnet.|Mit freundlichen Grüßen\n<N>\n<A>\nTel. <P>|name=<N>;phone=<P>;id=<I>;n=<0>",
-    "fr": "Merci d'écrire à <N> (<E>) avant <0> h.|Appeler <N> (<P>) au sujet de : <X>.|Carte perdue : <I>, titulaire <N>, réponse <E>.|Depuis <Y>, <N> habite <A>.|Les réponses à <E> sont lues <W>.|L'accueil de nuit répond au <P> <W>.|Le formulaire porte le numéro d'identité <I>.|<N>, <I>, a demandé une copie <W>.|Livraison (<X>) : <A>, <T>.|<N> et <N> n'étaient pas d'accord : <X>.|<N> a signé le compte rendu à <T>.|Cordialement,\n<N>\n<A>\nTél. <P>|nom=<N>;tél=<P>;id=<I>;n=<0>",
-    "es": "Escriba a <N> (<E>) antes de las <0>.|Llame a <N> (<P>); asunto: <X>.|Tarjeta perdida: <I>, titular <N>, respuesta <E>.|Desde <Y> <N> vive en <A>.|Las respuestas a <E> se leen <W>.|El mostrador nocturno atiende en el <P> <W>.|El formulario indica el número de identidad <I>.|<N>, <I>, pidió otra copia <W>.|Entrega (<X>): <A>, <T>.|<N> y <N> no estaban de acuerdo: <X>.|<N> firmó el acta en <T>.|Atentamente,\n<N>\n<A>\nTel. <P>|Un saludo,\n<N>\n<A>\nTel. <P>|nombre=<N>;tel=<P>;id=<I>;n=<0>",
-    "nl": "Schrijf <N> via <E> vóór <0> uur.|Bel <N> (<P>) over <X>.|Kaart verloren: <I>, houder <N>, antwoord <E>.|Sinds <Y> woont <N> op <A>.|Antwoorden aan <E> worden <W> gelezen.|De nachtbalie is <W> bereikbaar op <P>.|Op het formulier staat burgernummer <I>.|<N>, <I>, vroeg <W> om een tweede kopie.|Levering (<X>): <A>, <T>.|<N> en <N> waren het oneens: <X>.|<N> heeft de notulen in <T> ondertekend.|Met vriendelijke groet,\n<N>\n<A>\nTel. <P>|naam=<N>;tel=<P>;id=<I>;n=<0>",
-    "ru": "Контакт: <N>, <E>, до <0> часов.|Позвонить: <N> (<P>), тема: <X>.|Утеряна карта: <I>, владелец <N>, ответ <E>.|С <Y> <N> живёт по адресу: <A>.|Ответы на <E> читают <W>.|Ночная служба отвечает <W> по номеру <P>.|В анкете указан номер удостоверения <I>.|<N>, <I>: запрос второй копии <W>.|Доставка (<X>): <A>, <T>.|<N> и <N> не согласились: <X>.|Протокол в <T> подписан: <N>.|С уважением,\n<N>\n<A>\nТел. <P>|имя=<N>;тел=<P>;ном=<I>;n=<0>",
+    "en": r"""My neighbour <N> keeps bees behind <A>.
+You can reach our plumber, <N>, on <P> until <H>.
+The parcel was left with <N> at <A> because nobody answered.
+I spoke to <N> yesterday and got this address: <E>.
+If the alarm rings again, phone <P> and ask for <N>.
+The court heard that <N>, of <A>, had sold <X> twice.
+<N> was born in <T> in <Y> and studied there until <Y>.
+According to <N>, <X> had been broken for <n> weeks.
+Her passport, number <I>, was found on the train to <T>.
+We need a copy of your identity card (<I>) by <D>.
+His social security number is <I> and must not be shared.
+Tax file <I> belongs to <N>, not to her brother <N>.
+From: <N> <E>
+Sent by <N> on <D>: thank you for repairing <X>.
+Dear <N>, your order <R> has left our store in <T>.
+Dear Mrs <N>, we have changed your number to <P>.
+Hi <N>, did you get <X> back from <N>?
+Best wishes, <N>
+Thanks a lot\n<N>\n<P>
+The flat at <A> is let to <N> since <Y>.
+They moved from <A> to <A> last spring.
+Send the bill to <A>, please, not to <F>.
+Applications go to <E>, questions to <E>.
+Text <P> if you are late; <N> has the keys.
+<N> scored twice before <N> equalised for <T>.
+The jury chose <N> for her book about <X>.
+<N> and <N> founded <F> in <Y>.
+Driver <N>, licence holder <I>, was stopped near <T>.
+Patient <N>, insurance <I>, was seen on <D> at <H>.
+A statement by <N> of <F> was read out in <T>.
+"We never closed <X>," <N> told reporters on <D>.
+Invoice <R> was paid by <N> through <F>.
+The guide's mobile is <P>, her mail <E>.
+Contact: <N>, <F>, <A>, <P>, <E>
+We asked whether <N> still lived in <T>.
+Only <N> knew where <X> was kept.
+Please ring <P> about <X>.
+No answer from <P>, tried again at <H>.
+<N> thanks everyone who wrote.
+Minutes were taken by <N>; <N> and <N> sent apologies.""",
+    "de": r"""Unser Hausmeister <N> ist bis <H> unter <P> zu sprechen.
+Das Paket liegt bei <N> in der <A>, dort hat niemand geklingelt.
+Ich habe gestern mit <N> geredet, die Adresse ist <E>.
+Bei Störungen bitte <P> wählen und nach <N> fragen.
+<N> wurde <Y> in <T> geboren und lernte dort den Beruf.
+Laut <N> war <X> seit <n> Wochen kaputt.
+Ihr Reisepass mit der Nummer <I> wurde im Zug nach <T> gefunden.
+Wir brauchen bis <D> eine Kopie des Ausweises (<I>).
+Die Steuernummer <I> gehört <N>, nicht dem Bruder <N>.
+Von: <N> <E>
+Sehr geehrte Frau <N>, Ihre Bestellung <R> ist unterwegs.
+Hallo <N>, hast du <X> zurückbekommen?
+Viele Grüße\n<N>
+Herzlichst <N>\n<P>
+Die Wohnung in der <A> ist seit <Y> an <N> vermietet.
+Sie sind von <A> nach <A> umgezogen.
+Die Rechnung geht an <A>, nicht an <F>.
+Bewerbungen an <E>, Fragen an <E>.
+Wer zu spät kommt, ruft <P> an; den Schlüssel hat <N>.
+<N> traf zweimal, dann glich <N> für <T> aus.
+<N> und <N> gründeten <Y> die Firma <F>.
+Patient <N>, Versicherung <I>, kam am <D> um <H>.
+„<X> war nie geschlossen“, sagte <N> am <D>.
+Ansprechpartner: <N>, <F>, <A>, <P>, <E>
+Nur <N> wusste, wo <X> lag.
+Unter <P> war niemand zu erreichen.
+Protokoll: <N>; entschuldigt fehlten <N> und <N>.
+Der Ausweis von <N> trägt die Nummer <I>.
+Man fragte, ob <N> noch in <T> wohne.
+Die Nachbarin <N> hütet <X>.""",
+    "fr": r"""Notre plombier <N> répond au <P> jusqu'à <H>.
+Le colis est chez <N>, <A>, personne n'ouvrait.
+J'ai parlé hier avec <N>, son adresse est <E>.
+En cas de panne, composez le <P> et demandez <N>.
+<N> est née à <T> en <Y> et y a étudié.
+Selon <N>, <X> ne marchait plus depuis <n> semaines.
+Son passeport, numéro <I>, a été retrouvé dans le train de <T>.
+Il nous faut une copie de votre carte (<I>) avant le <D>.
+Le numéro fiscal <I> est celui de <N>, pas de son frère <N>.
+De : <N> <E>
+Chère Madame <N>, votre commande <R> est partie.
+Bonjour <N>, as-tu récupéré <X> ?
+Bien à vous,\n<N>
+Amitiés, <N>\n<P>
+L'appartement du <A> est loué à <N> depuis <Y>.
+Ils ont quitté le <A> pour le <A>.
+Envoyez la facture au <A>, pas à <F>.
+Les candidatures vont à <E>, les questions à <E>.
+Si vous êtes en retard, appelez <P> ; <N> a les clés.
+<N> et <N> ont fondé <F> en <Y>.
+Patiente <N>, assurée <I>, vue le <D> à <H>.
+« <X> n'a jamais fermé », a dit <N> le <D>.
+Contact : <N>, <F>, <A>, <P>, <E>
+Seul <N> savait où était <X>.
+Personne au <P>, nouvel essai à <H>.
+Secrétaire de séance : <N> ; excusés : <N> et <N>.
+On demandait si <N> vivait encore à <T>.
+La voisine <N> garde <X>.""",
+    "es": r"""Nuestro fontanero <N> contesta en el <P> hasta las <H>.
+El paquete está con <N>, <A>, nadie abría.
+Ayer hablé con <N> y me dio esta dirección: <E>.
+Si vuelve a fallar, marque <P> y pregunte por <N>.
+<N> nació en <T> en <Y> y estudió allí.
+Según <N>, <X> llevaba rota <n> semanas.
+Su pasaporte, número <I>, apareció en el tren de <T>.
+Necesitamos copia de su documento (<I>) antes del <D>.
+El número fiscal <I> es de <N>, no de su hermano <N>.
+De: <N> <E>
+Estimada señora <N>: su compra <R> ya ha salido.
+Hola <N>, ¿recuperaste <X>?
+Saludos cordiales,\n<N>
+Un abrazo, <N>\n<P>
+El piso de <A> está alquilado a <N> desde <Y>.
+Se mudaron de <A> a <A>.
+Mande la factura a <A>, no a <F>.
+Las solicitudes van a <E>, las dudas a <E>.
+Si llega tarde, llame al <P>; <N> tiene las llaves.
+<N> y <N> fundaron <F> en <Y>.
+Paciente <N>, seguro <I>, visto el <D> a las <H>.
+«<X> nunca cerró», dijo <N> el <D>.
+Contacto: <N>, <F>, <A>, <P>, <E>
+Solo <N> sabía dónde estaba <X>.
+No contestan en el <P>; otro intento a las <H>.
+Actas: <N>; se disculparon <N> y <N>.
+Preguntaron si <N> seguía en <T>.
+La vecina <N> cuida <X>.""",
+    "nl": r"""Onze loodgieter <N> is tot <H> te bellen op <P>.
+Het pakje ligt bij <N>, <A>, want niemand deed open.
+Ik sprak gisteren met <N> en kreeg dit adres: <E>.
+Gaat het weer mis, bel dan <P> en vraag naar <N>.
+<N> is in <Y> in <T> geboren en leerde daar het vak.
+Volgens <N> was <X> al <n> weken stuk.
+Haar paspoort met nummer <I> lag in de trein naar <T>.
+Wij willen voor <D> een kopie van uw identiteitskaart (<I>).
+Het belastingnummer <I> is van <N>, niet van haar broer <N>.
+Van: <N> <E>
+Geachte mevrouw <N>, uw bestelling <R> is verzonden.
+Hoi <N>, heb je <X> terug?
+Groeten,\n<N>
+Hartelijke groet, <N>\n<P>
+De woning aan de <A> wordt sinds <Y> verhuurd aan <N>.
+Ze verhuisden van <A> naar <A>.
+Stuur de rekening naar <A>, niet naar <F>.
+Sollicitaties naar <E>, vragen naar <E>.
+Wie te laat is belt <P>; <N> heeft de sleutels.
+<N> en <N> richtten <F> op in <Y>.
+Patiënt <N>, verzekering <I>, gezien op <D> om <H>.
+"<X> is nooit dicht geweest," zei <N> op <D>.
+Contact: <N>, <F>, <A>, <P>, <E>
+Alleen <N> wist waar <X> lag.
+Op <P> nam niemand op.
+Notulen: <N>; afwezig waren <N> en <N>.
+Men vroeg of <N> nog in <T> woonde.
+Buurvrouw <N> past op <X>.""",
+    "ru": r"""Наш слесарь <N> отвечает по телефону <P> до <H>.
+Посылка у соседа: <N>, <A>.
+Вчера я говорил с мастером, его зовут <N>, почта <E>.
+Если снова сломается, звоните <P>, спросите: <N>.
+<N> родилась в городе <T> в <Y> году.
+По словам <N>, <X> не работал <n> недель.
+Паспорт <I> нашли в поезде до станции <T>.
+Нужна копия документа (<I>) до <D>.
+ИНН <I> принадлежит <N>, а не <N>.
+От: <N> <E>
+Уважаемая <N>, ваш заказ <R> отправлен.
+Привет, <N>, ты забрал <X>?
+С наилучшими пожеланиями,\n<N>
+Спасибо! <N>\n<P>
+Квартиру по адресу <A> с <Y> года снимает <N>.
+Они переехали: раньше <A>, теперь <A>.
+Счёт направьте на <A>, а не в <F>.
+Заявки на <E>, вопросы на <E>.
+Опаздываете — звоните <P>, ключи у <N>.
+<N> и <N> основали <F> в <Y> году.
+Пациент <N>, полис <I>, приём <D> в <H>.
+«<X> никогда не закрывали», — сказал <N> <D>.
+Контакты: <N>, <F>, <A>, <P>, <E>
+Только <N> знал, где <X>.
+По номеру <P> не ответили.
+Секретарь собрания: <N>; отсутствовали <N> и <N>.
+Спросили, живёт ли <N> ещё в <T>.
+Соседка <N> хранит <X>.""",
+}
+
+# What may stand before and after a name, and before other values, to be put together at random.
+BEFORE = {
+    "en": "yesterday|we met|he wrote to|she called|they asked|then|later|in <T>,|on <D>|the old teacher|a friend of|thanks to|after that|before lunch|with|without|for|from|and|but|because|when|where|my uncle|the mayor,|her cousin|this photo shows|please help|nobody saw|the letter from|a song by|the house of|I think that|last week|under the roof,|according to the list,|as usual,|in the end|at noon|during the storm|near <G>|of course|the nurse told|not even|only|perhaps|since <Y>",
+    "de": "gestern|wir trafen|er schrieb an|sie rief|dann|später|in <T>|am <D>|der alte Lehrer|ein Freund von|dank|danach|vor dem Essen|mit|ohne|für|von|und|aber|weil|als|wo|mein Onkel|die Bürgermeisterin|ihr Vetter|dieses Bild zeigt|niemand sah|der Brief von|ein Lied von|das Haus von|ich glaube, dass|letzte Woche|laut Liste|wie immer|am Ende|mittags|im Sturm|bei <G>|natürlich|nicht einmal|nur|vielleicht|seit <Y>|nach dem Regen hat|trotz der Kälte|im Winter|deshalb",
+    "fr": "hier|nous avons rencontré|il écrit à|elle appelait|alors|plus tard|à <T>,|le <D>|le vieux maître|un ami de|grâce à|ensuite|avant midi|avec|sans|pour|de|et|mais|parce que|quand|mon oncle|la mairesse|sa cousine|cette photo montre|personne n'a vu|la lettre de|une chanson de|la maison de|je crois que|la semaine dernière,|selon la liste,|comme toujours,|à la fin|pendant l'orage,|près de <G>|même|seulement|peut-être|depuis <Y>|avec la pluie,|cet hiver,|on dit que",
+    "es": "ayer|encontramos a|escribió a|llamó a|luego|más tarde|en <T>,|el <D>|el viejo maestro|un amigo de|gracias a|después|antes de comer|con|sin|para|de|y|pero|porque|cuando|mi tío|la alcaldesa|su prima|esta foto muestra a|nadie vio a|la carta de|una canción de|la casa de|creo que|la semana pasada,|según la lista,|como siempre,|al final|durante la tormenta,|cerca de <G>|ni siquiera|solo|quizá|desde <Y>|con la lluvia,|este invierno,|dicen que",
+    "nl": "gisteren|we zagen|hij schreef aan|zij belde|toen|later|in <T>|op <D>|de oude meester|een vriend van|dankzij|daarna|voor het eten|met|zonder|voor|van|en|maar|omdat|als|waar|mijn oom|de burgemeester|haar nicht|deze foto toont|niemand zag|de brief van|een lied van|het huis van|ik denk dat|vorige week|volgens de lijst|zoals altijd|aan het eind|tijdens de storm|bij <G>|zelfs|alleen|misschien|sinds <Y>|door de regen|deze winter|daarom",
+    "ru": "вчера|мы встретили|он написал|она позвонила|потом|позже|в городе <T>|<D>|старый учитель|друг по имени|спасибо,|затем|до обеда|и|но|потому что|когда|мой дядя|мэр|её сестра|на снимке|никто не видел, как|письмо пишет|песню пел|дом строил|думаю, что|на прошлой неделе|по списку|как всегда,|в конце|во время бури|у <G>|даже|только|может быть,|с <Y> года|из-за дождя|этой зимой|говорят, что|ждёт",
+}
+AFTER = {
+    "en": "sings|came late|and his wife|won a prize|has sold the shop|from <T>|the carpenter|with <n> votes|in <Y>|was tired|is our guest|will open <X>|who repairs <X>|, aged <n>,|again|for <n> years|wrote about <X>|to the doctor|on the stairs|laughed|did not come|at <F>|near <G>|has a boat|and <X>|out of the hall|back to <T>|by hand|had built <X>|told a story|about the war",
+    "de": "singt|kam zu spät|und seine Frau|gewann einen Preis|hat den Betrieb verkauft|aus <T>|der Tischler|mit <n> Stimmen|im Jahr <Y>|war müde|ist unser Gast|öffnet das Tor|, der <X> repariert,|, <n> Jahre alt,|wieder|seit <n> Jahren|den ganzen Tag|zum Arzt|auf der Treppe|lachte|kam nicht|bei <F>|am Ufer|ein Boot|und <X>|aus dem Saal|nach <T> zurück|die Bäume gefällt|das Dach gedeckt|den Kuchen|vom Krieg erzählt",
+    "fr": "chante|est arrivé tard|et sa femme|a gagné un prix|a vendu l'atelier|de <T>|le menuisier|avec <n> voix|en <Y>|était fatigué|est notre invité|ouvrira la porte|qui répare <X>|, <n> ans,|encore|depuis <n> ans|a écrit sur <X>|chez le médecin|dans l'escalier|riait|n'est pas venu|chez <F>|sur la rive|a un bateau|et <X>|sortait de la salle|à <T>|la nuit|avait construit <X>|aux enfants",
+    "es": "canta|llegó tarde|y su mujer|ganó un premio|vendió el taller|de <T>|el carpintero|con <n> votos|en <Y>|estaba cansado|es nuestro invitado|abrirá la puerta|, que repara <X>,|, de <n> años,|otra vez|desde hace <n> años|escribió sobre <X>|al médico|en la escalera|se reía|no vino|en <F>|en la orilla|tiene un barco|y <X>|salía de la sala|a <T>|de noche|había construido <X>|a los niños",
+    "nl": "zingt|kwam te laat|en zijn vrouw|won een prijs|heeft de zaak verkocht|uit <T>|de timmerman|met <n> stemmen|in <Y>|was moe|is onze gast|opent de deur|, die <X> maakt,|, <n> jaar,|weer|al <n> jaar|schreef over <X>|naar de dokter|op de trap|lachte|kwam niet|bij <F>|aan de oever|heeft een boot|en <X>|de zaal uit|naar <T>|in de nacht|de bomen om|het dak op",
+    "ru": "поёт|пришёл поздно|и его жена|получила премию|продал мастерскую|из <T>|плотник|, <n> голосов,|в <Y> году|устала|наш гость|откроет дверь|, который чинит <X>,|, <n> лет,|снова|уже <n> лет|писал про <X>|к врачу|на лестнице|смеялась|не пришёл|в <F>|на берегу|купил лодку|и <X>|выходит из зала|ночью|построил <X>|детям",
+}
+ORDINARY_AFTER = {
+    "en": "<n> visitors came|<n> of them left|the river rose|<X> broke|nobody came|<T> was quiet|<n> people waited|it was <n> degrees", "de": "<n> Gäste kamen|<n> davon gingen|der Fluss stieg|<X> zerbrach|niemand kam|<T> war still|<n> Leute warteten|der Ofen ging aus", "fr": "<n> visiteurs vinrent|<n> restèrent|la rivière montait|<X> cassa|personne ne vint|<T> dormait|<n> personnes attendaient|le four s'éteignit",
+    "es": "<n> vinieron tarde|<n> de ellos faltan|el río subía|<X> se rompió|nadie vino|<T> dormía|<n> personas esperaban|se apagó el horno", "nl": "<n> gasten kwamen|<n> bleven weg|de rivier steeg|<X> brak|niemand kwam|<T> sliep|<n> mensen wachtten|de oven ging uit", "ru": "<n> гостей пришли|<n> ушли|река поднялась|<X> сломался|никто не пришёл|<T> спал|<n> человек ждали|печь погасла",
+}
+TOWARDS = {
+    "E": {"en": "to|at|via|under|mail|is|was|write|from|use|sent from|or|not", "de": "an|unter|über|per Mail an|lautet|ist|schreiben Sie|von|oder|nicht", "fr": "à|sur|via|est|était|écrivez à|de|ou|pas", "es": "a|en|por|es|era|escriba a|de|o|no", "nl": "aan|op|via|is|was|schrijf|van|of|niet", "ru": "на|через|это|была|пишите|от|или|не"},
+    "P": {"en": "at|on|under|is|dial|ring|via|was|or|the old number|text|call back", "de": "unter|auf|ist|wählen Sie|über|war|oder|die alte Nummer|zurückrufen:|Telefon", "fr": "au|sur|est|composez|via|était|ou|l'ancien numéro|rappeler le|faites le", "es": "al|en el|es|marque el|por el|era|o|el número antiguo|devolver llamada:|llamar al", "nl": "op|via|is|draai|was|of|het oude nummer|terugbellen:|bel", "ru": "по|на|это|наберите|был|или|старый номер|перезвонить:|номер"},
+    "I": {"en": "card|number|holder of|passport|under|is|identity|licence|visa|document|insured as|registered as|papers", "de": "Ausweis|Nummer|Inhaber von|Pass|unter|ist|Visum|Dokument|versichert als|Papiere|Führerschein", "fr": "carte|numéro|titulaire de|passeport|sous|est|visa|document|assuré|papiers|permis", "es": "carné|número|titular de|pasaporte|con|es|visado|documento|asegurado|papeles|permiso", "nl": "kaart|nummer|houder van|pas|onder|is|visum|document|verzekerd als|papieren|rijbewijs", "ru": "карта|номер|владелец|паспорт|под номером|виза|документ|полис|бумаги|права|удостоверение"},
+    "A": {"en": "at|to|from|near|behind|in front of|lives at|is|or|between|the shop at|of", "de": "in der|an der|nach|aus der|neben|hinter|wohnt|ist|oder|der Laden in der|an|bei", "fr": "au|à|du|près du|derrière le|habite|est|ou|la boutique du|chez, ", "es": "en|a|de|cerca de|detrás de|vive en|es|o|la tienda de|junto a", "nl": "op|aan de|naar|van|achter|woont|is|of|de winkel aan de|bij", "ru": "по адресу|на|у дома|рядом:|за домом|живёт:|это|или|лавка:|адрес"},
 }
 
 # Sentences without personal values.
 ORDINARY = {
-    "en": "Two doors lead to <T>; the left one sticks.|The road to <T> is <0> km long and mostly flat.|<0> of <0> rows were read before the lamp went out.|We saw <0> streets and <0> roads around Lake <L>.|Readings at <clock>: <0>.<0>, <0>.<0> and <0>/<0>.|Set the scale to <0> @ <0> mm and read page <0>-<0>.|Price per metre: <0>.50; minimum <0> m; paid <W>.|We don't know who closed the list <W>.|\"Too loud,\" said the guard, \"and <0> minutes late.\"|Batch <date>, counter <count>, firmware <0>.<0>.<0>.|Order <order> replaces order <order>.|Is <X> ready, or should <T> wait?|They'll repaint <X> if <T> pays by the <0>th.|Nobody in <T> had ordered <X>.|The tag @<tag><0> and the file <tag><0>@2x.png are unused.|I've never seen <X> so clean!|<X> weighs <0> kg, packed <0> kg.|<X> goes to <T> <W>.|<F> delivered <X> <W>.|It'll rain <W>; keep <X> under the roof.|<X> was checked <0> times, and <0> faults were noted.|<X>, <X> and <X> share one key.|Whoever turns the wheel first must also turn it back.",
-    "de": "Zwei Türen führen nach <T>; die linke klemmt.|Die Straße nach <T> ist <0> km lang und meist flach.|<0> von <0> Zeilen waren gelesen, bevor die Lampe ausging.|Wir sahen <0> Straßen und <0> Wege am See <L>.|Messwerte um <clock>: <0>.<0>, <0>.<0> und <0>/<0>.|Skala auf <0> @ <0> mm stellen und Seite <0>-<0> lesen.|Preis je Meter: <0>,50; mindestens <0> m; zahlbar <W>.|Wir wissen nicht, wer die Liste <W> geschlossen hat.|„Zu laut“, sagte die Wache, „und <0> Minuten zu spät.“|Charge <date>, Zähler <count>, Firmware <0>.<0>.<0>.|Auftrag <order> ersetzt Auftrag <order>.|Ist <X> bereit, oder soll <T> warten?|Wenn <T> bis zum <0>. zahlt, wird neu gestrichen: <X>.|Niemand in <T> hatte so etwas bestellt: <X>.|Die Marke @<tag><0> und die Datei <tag><0>@2x.png sind ungenutzt.|So sauber war das noch nie: <X>!|<X>: <0> kg, verpackt <0> kg.|<X> geht <W> nach <T>.|<F> lieferte <W>: <X>.|Es wird <W> regnen; unters Dach gehört: <X>.|<X>: <0> Prüfungen, dabei <0> Fehler vermerkt.|<X>, <X> und <X> haben denselben Schlüssel.|Wer das Rad zuerst dreht, muss es auch zurückdrehen.",
-    "fr": "Deux portes mènent à <T> ; celle de gauche coince.|La route de <T> fait <0> km et reste presque plate.|<0> lignes sur <0> étaient lues avant que la lampe s'éteigne.|Nous avons vu <0> rues et <0> chemins au lac <L>.|Relevés à <clock> : <0>.<0>, <0>.<0> et <0>/<0>.|Régler l'échelle sur <0> @ <0> mm et lire la page <0>-<0>.|Prix au mètre : <0>,50 ; minimum <0> m ; payé <W>.|Nous ne savons pas qui a fermé la liste <W>.|« Trop fort », dit le garde, « et <0> minutes de retard. »|Lot <date>, compteur <count>, micrologiciel <0>.<0>.<0>.|La commande <order> remplace la commande <order>.|Est-ce que <X> suffit, ou faut-il que <T> attende ?|Si <T> paie avant le <0>, on repeindra : <X>.|Personne à <T> n'avait commandé cela : <X>.|Le tag @<tag><0> et le fichier <tag><0>@2x.png ne servent pas.|Jamais vu aussi propre : <X> !|<X> : <0> kg, emballage compris <0> kg.|<X> : départ pour <T> <W>.|<F> a livré <W> : <X>.|Il pleuvra <W> ; à garder sous le toit : <X>.|<X> : <0> contrôles et <0> défauts notés.|<X>, <X> et <X> : une seule clé.|Qui tourne la roue en premier doit aussi la remettre.",
-    "es": "Dos puertas llevan a <T>; la izquierda se atasca.|El camino a <T> mide <0> km y es casi llano.|Se leyeron <0> de <0> filas antes de apagarse la lámpara.|Vimos <0> calles y <0> caminos junto al lago <L>.|Lecturas a las <clock>: <0>.<0>, <0>.<0> y <0>/<0>.|Ajuste la escala a <0> @ <0> mm y lea la página <0>-<0>.|Precio por metro: <0>,50; mínimo <0> m; pago <W>.|No sabemos quién cerró la lista <W>.|—Demasiado ruido —dijo la guardia—, y <0> minutos tarde.|Lote <date>, contador <count>, firmware <0>.<0>.<0>.|El pedido <order> sustituye al pedido <order>.|¿Está disponible <X>, o debe esperar <T>?|Si <T> paga antes del día <0>, se repintará: <X>.|Nadie en <T> había pedido esto: <X>.|La etiqueta @<tag><0> y el archivo <tag><0>@2x.png no se usan.|¡Nunca tan limpio como hoy: <X>!|<X>: <0> kg, con embalaje <0> kg.|<X>: salida hacia <T> <W>.|<F> entregó <W>: <X>.|Lloverá <W>; bajo techo debe quedar: <X>.|<X>: <0> revisiones y <0> fallos anotados.|<X>, <X> y <X>: una sola llave.|Quien gire primero la rueda debe también devolverla.",
-    "nl": "Twee deuren leiden naar <T>; de linker klemt.|De weg naar <T> is <0> km lang en vrijwel vlak.|<0> van de <0> rijen waren gelezen voordat de lamp uitging.|We zagen <0> straten en <0> wegen bij het meer <L>.|Metingen om <clock>: <0>.<0>, <0>.<0> en <0>/<0>.|Zet de schaal op <0> @ <0> mm en lees pagina <0>-<0>.|Prijs per meter: <0>,50; minimaal <0> m; betaald <W>.|We weten niet wie de lijst <W> heeft gesloten.|\"Te luid,\" zei de wacht, \"en <0> minuten te laat.\"|Partij <date>, teller <count>, firmware <0>.<0>.<0>.|Order <order> vervangt order <order>.|Is <X> klaar, of moet <T> wachten?|Als <T> voor de <0>e betaalt, wordt overgeschilderd: <X>.|Niemand in <T> had dit besteld: <X>.|De tag @<tag><0> en het bestand <tag><0>@2x.png zijn ongebruikt.|Nog nooit zo schoon gezien: <X>!|<X>: <0> kg, verpakt <0> kg.|<X> gaat <W> naar <T>.|<F> leverde <W>: <X>.|Het gaat <W> regenen; onder het dak hoort: <X>.|<X>: <0> controles, daarbij <0> fouten genoteerd.|<X>, <X> en <X> delen één sleutel.|Wie het wiel het eerst draait, moet het ook terugdraaien.",
-    "ru": "Две двери ведут в <T>; левую заедает.|Дорога в <T> длиной <0> км и почти ровная.|<0> из <0> строк прочитали, прежде чем погасла лампа.|Мы видели <0> улиц и <0> дорог у озера <L>.|Показания в <clock>: <0>.<0>, <0>.<0> и <0>/<0>.|Установите шкалу на <0> @ <0> мм и читайте страницу <0>-<0>.|Цена за метр: <0>,50; минимум <0> м; оплата <W>.|Мы не знаем, кто закрыл список <W>.|«Слишком громко, — сказала охрана, — и на <0> минут позже».|Партия <date>, счётчик <count>, прошивка <0>.<0>.<0>.|Заказ <order> заменяет заказ <order>.|Есть ли <X>, или <T> подождёт?|Если <T> заплатит до <0> числа, покрасят заново: <X>.|Никто в <T> этого не заказывал: <X>.|Метка @<tag><0> и файл <tag><0>@2x.png не используются.|Никогда не было так чисто: <X>!|<X>: <0> кг, в упаковке <0> кг.|<X>: отправка в <T> <W>.|<F>: поставка <W>, <X>.|Дождь будет <W>; под крышей держать: <X>.|<X>: <0> проверок, отмечено <0> дефектов.|<X>, <X> и <X>: один ключ.|Кто первым повернёт колесо, тот и вернёт его назад.",
+    "en": """The museum in <T> opens at <H> and closes at <H>.
+<F> reported sales of <m> for <Y>.
+Chapter <n> describes <X> in detail.
+It took <n> men <n> days to lift <X>.
+Boil <n> g of rice in <n> ml of water for <n> minutes.
+The train from <T> to <T> was <n> minutes late on <D>.
+Version <v> fixes <n> bugs in <X>.
+Invoice <R> of <D> over <m> is still open.
+Parcel <R> is waiting in <T>.
+Part no. <R> fits <X> made after <Y>.
+Your ticket <R> was closed at <H>.
+Serial number <R>, made in <T>.
+They walked around <G> and came home at <H>.
+<G> froze over in <Y>.
+In <T>, nobody knew <X>.
+<T> beat <T> <n>-<n> on <D>.
+Who painted <X>?
+<F> and <F> will merge in <Y>.
+The temperature fell to -<n>.<n> degrees near <G>.
+See page <n>, table <n>, line <n>.
+Flight <R> left at <H> from gate <n>.
+ISBN <isbn>, <n> pages, <m>.
+Room <n>, second floor, turn left at <X>.
+Shares of <F> rose <n>.<n> % to <m>.
+Do not store <X> above <n> °C.
+The bridge over <G> is <n> m long and was built in <Y>.
+Between <Y> and <Y> the town of <T> lost <n> mills.
+At first, <X> looked lost.
+Some of <X> came from <T>, some from <T>.
+Only then did <T> answer.
+The tag #<w><n> was used <n>,<n3> times.
+Follow @<w><n> for news about <X>.
+Open <w>.<w>, change <w>_<w> to <n> and save.
+On Monday and Friday the market in <T> sells <X>.
+Meter reading: <R>.
+Counter <R>, lot <R>.
+The March issue has <n> pages about <X>.
+If it rains in <T>, bring <X> inside.
+We measured <n> x <n> x <n> cm.
+Half of <X> was gone by <H>.
+Icon <file> is missing from <file>.
+Read pages <n>-<n> and <n>/<n>.
+A road leads from <T> to <T> through <T>.
+The <n>th race starts on the <n>th of May.
+Key <hex> was replaced by 0x<hex>.""",
+    "de": """Das Museum in <T> öffnet um <H> und schließt um <H>.
+<F> meldete für <Y> einen Umsatz von <m>.
+Kapitel <n> beschreibt <X> genau.
+<n> Arbeiter brauchten <n> Tage für <X>.
+Den Reis (<n> g) in <n> ml Wasser <n> Minuten kochen.
+Der Zug von <T> nach <T> kam am <D> <n> Minuten zu spät.
+Version <v> behebt <n> Fehler.
+Die Rechnung <R> vom <D> über <m> ist offen.
+Sendung <R> liegt in <T> bereit.
+Artikel <R> passt zu Modellen ab Baujahr <Y>.
+Seriennummer <R>, hergestellt in <T>.
+Wir gingen um <G> herum.
+Im Jahr <Y> fror <G> zu.
+In <T> kannte niemand <X>.
+<T> schlug <T> am <D> mit <n>:<n>.
+<F> und <F> schließen sich <Y> zusammen.
+Siehe Seite <n>, Tabelle <n>, Zeile <n>.
+Zimmer <n>, zweiter Stock, links neben der Treppe.
+Die Aktie von <F> stieg um <n>,<n> % auf <m>.
+Die Brücke ist <n> m lang und stammt aus <Y>.
+Erst danach antwortete <T>.
+Zwischen Küche und Bad fehlt eine Tür.
+Die Kleine Halle und der Große Saal sind belegt.
+Am Montag und Freitag ist Markt in <T>.
+Zählerstand <R>, Los <R>.
+Gesucht werden Lehrer, Köche und Fahrer ab <D>.
+Regnet es in <T>, kommt <X> ins Haus.
+Gegen Mittag fiel in der Werkstatt der Strom aus.
+Bei Frost bleibt das Tor im Hof geschlossen.
+Um <H> war die Hälfte verkauft.
+Das Bild <file> fehlt in <file>.
+Bitte Seite <n>-<n> und <n>/<n> lesen.
+Von <T> über <T> nach <T> fährt ein Bus.
+Schlüssel <hex> ersetzt 0x<hex>; am <n>. Mai geht es weiter.""",
+    "fr": """Le musée de <T> ouvre à <H> et ferme à <H>.
+<F> annonce un chiffre de <m> pour <Y>.
+Le chapitre <n> décrit <X> en détail.
+Il a fallu <n> jours pour réparer <X>.
+Cuire <n> g de riz dans <n> ml d'eau pendant <n> minutes.
+Le train de <T> à <T> avait <n> minutes de retard le <D>.
+La version <v> corrige <n> erreurs.
+La facture <R> du <D>, d'un montant de <m>, reste ouverte.
+Le colis <R> attend à <T>.
+La pièce <R> convient aux modèles de <Y>.
+Numéro de série <R>, fabriqué à <T>.
+Nous avons fait le tour de <G>.
+En <Y>, <G> a gelé.
+À <T>, personne ne connaissait <X>.
+<T> a battu <T> <n>-<n> le <D>.
+<F> et <F> fusionnent en <Y>.
+Voir page <n>, tableau <n>, ligne <n>.
+Chambre <n>, deuxième étage, à gauche.
+L'action de <F> gagne <n>,<n> % à <m>.
+Le pont mesure <n> m et date de <Y>.
+Alors seulement <T> répondit.
+Lundi et vendredi, le marché de <T> vend <X>.
+Relevé du compteur : <R>, lot <R>.
+S'il pleut à <T>, rentrez <X>.
+La moitié était partie à <H>.
+L'image <file> manque dans <file>.
+Lire les pages <n>-<n> et <n>/<n>.
+Un bus va de <T> à <T> par <T>.
+C'est la <n>e fois au <n>e étage.
+La clé <hex> remplace 0x<hex>.""",
+    "es": """El museo de <T> abre a las <H> y cierra a las <H>.
+<F> anunció ventas de <m> en <Y>.
+El capítulo <n> describe <X> con detalle.
+Hicieron falta <n> días para arreglar <X>.
+Cueza <n> g de arroz en <n> ml de agua <n> minutos.
+El tren de <T> a <T> llegó <n> minutos tarde el <D>.
+La versión <v> corrige <n> errores.
+La factura <R> del <D> por <m> sigue abierta.
+El envío <R> espera en <T>.
+La pieza <R> sirve para modelos de <Y>.
+Número de serie <R>, hecho en <T>.
+Dimos la vuelta a <G>.
+En <Y> se heló <G>.
+En <T> nadie conocía <X>.
+<T> ganó a <T> por <n>-<n> el <D>.
+<F> y <F> se unen en <Y>.
+Véase la página <n>, tabla <n>, línea <n>.
+Habitación <n>, segunda planta, a la izquierda.
+La acción de <F> sube un <n>,<n> % hasta <m>.
+El puente mide <n> m y es de <Y>.
+Solo entonces respondió <T>.
+Lunes y viernes, el mercado de <T> vende <X>.
+Lectura del contador: <R>, lote <R>.
+Si llueve en <T>, meta <X> en casa.
+A las <H> faltaba la mitad.
+Falta la imagen <file> en <file>.
+Lea las páginas <n>-<n> y <n>/<n>.
+Un autobús va de <T> a <T> por <T>.
+La clave <hex> sustituye a 0x<hex> en el piso <n>.º.""",
+    "nl": """Het museum in <T> gaat open om <H> en dicht om <H>.
+<F> meldde over <Y> een omzet van <m>.
+Hoofdstuk <n> beschrijft <X> precies.
+Het kostte <n> dagen om <X> te maken.
+Kook <n> g rijst in <n> ml water, <n> minuten.
+De trein van <T> naar <T> was op <D> <n> minuten te laat.
+Versie <v> verhelpt <n> fouten.
+Factuur <R> van <D> over <m> staat nog open.
+Zending <R> ligt klaar in <T>.
+Onderdeel <R> past op modellen vanaf <Y>.
+Serienummer <R>, gemaakt in <T>.
+We liepen om <G> heen.
+In <Y> vroor <G> dicht.
+In <T> kende niemand <X>.
+<T> won op <D> met <n>-<n> van <T>.
+<F> en <F> gaan in <Y> samen.
+Zie bladzijde <n>, tabel <n>, regel <n>.
+Kamer <n>, tweede verdieping, links.
+Het aandeel <F> steeg <n>,<n> % tot <m>.
+De brug is <n> m lang en komt uit <Y>.
+Pas toen antwoordde <T>.
+Op maandag en vrijdag verkoopt de markt in <T> <X>.
+Meterstand <R>, partij <R>.
+Als het in <T> giet, haal dan <X> binnen.
+Om <H> was de helft weg.
+Plaatje <file> ontbreekt in <file>.
+Lees bladzijde <n>-<n> en <n>/<n>.
+Een bus rijdt van <T> via <T> naar <T>.
+Voor de <n>e keer op de <n>e mei.
+Sleutel <hex> vervangt 0x<hex>.""",
+    "ru": """Музей в городе <T> открыт с <H> до <H>.
+<F> сообщила о продажах на <m> за <Y> год.
+В главе <n> описан <X>.
+На ремонт ушло <n> дней.
+Варите <n> г риса в <n> мл воды <n> минут.
+Поезд <T> — <T> опоздал на <n> минут <D>.
+В версии <v> исправлено <n> ошибок.
+Счёт <R> от <D> на сумму <m> не оплачен.
+Посылка <R> ждёт в отделении <T>.
+Деталь <R> подходит к моделям с <Y> года.
+Серийный номер <R>, сделано в <T>.
+Мы обошли <G>.
+В <Y> году замёрзло <G>.
+В <T> никто не знал про <X>.
+<T> выиграл у <T> <n>:<n> <D>.
+<F> и <F> объединятся в <Y> году.
+Смотрите страницу <n>, таблицу <n>, строку <n>.
+Комната <n>, второй этаж, налево.
+Акции <F> выросли на <n>,<n> % до <m>.
+Мост длиной <n> м построен в <Y> году.
+Только тогда <T> ответил.
+В понедельник и пятницу на рынке в <T> продают <X>.
+Показание счётчика <R>, партия <R>.
+Если в <T> пойдёт снег, занесите <X>.
+К <H> половины уже не было.
+Картинки <file> нет в <file>.
+Читайте страницы <n>-<n> и <n>/<n>.
+Автобус идёт из <T> в <T> через <T>.
+Ключ <hex> вместо 0x<hex>, это <n>-й раз.""",
 }
+
 # What else stands in crawled texts.
-JUNK = "for i in range(<0>):\n\tput(rows[i], '<tag>_<0>')|<0> ¦ <0>|x = [<0>, <0>]; print(x[i])|<0> <0> <0>|🚚🚚\t \tx²+y²=<0>   ≠ <0>|①② ③|????????|門箱門木火綠木箱|0x<0>b8c<0>dc|https://<tag>.test/<tag>?id=<0>&v=<0>#top|Readings&amp;nbsp;at&nbsp;<clock>: <0>.<0>|<T> &amp; <T>|• <X>: <0>|<script>|<script>|<script>|<script> <0>|<dots>|<dots> ①②|ﬁn ½²|éäô"
-
-THINGS = {
-    "en": "the green crate|the brass valve|the ferry timetable|the night shift|the glass roof|the old index|the small lathe|the spare pump|the paint store|the copper wire|the seed archive|the reading room|the water meter|the test bench|the east gate|the cable drum|the tool cabinet|the loading ramp|the heating loop|the sorting belt",
-    "de": "die grüne Kiste|das Messingventil|der Fährplan|die Nachtschicht|das Glasdach|das alte Register|die kleine Drehbank|die Ersatzpumpe|das Farbenlager|der Kupferdraht|das Saatgutarchiv|der Lesesaal|die Wasseruhr|der Prüfstand|das Osttor|die Kabeltrommel|der Werkzeugschrank|die Laderampe|der Heizkreis|das Sortierband",
-    "fr": "la caisse verte|la vanne en laiton|l'horaire du bac|l'équipe de nuit|la verrière|l'ancien index|le petit tour|la pompe de secours|le dépôt de peinture|le fil de cuivre|les archives de semences|la salle de lecture|le compteur d'eau|le banc d'essai|le portail est|le touret de câble|l'armoire à outils|la rampe de chargement|le circuit de chauffage|le tapis de tri",
-    "es": "la caja verde|la válvula de latón|el horario del ferri|el turno de noche|el techo de cristal|el índice antiguo|el torno pequeño|la bomba de reserva|el almacén de pintura|el hilo de cobre|el archivo de semillas|la sala de lectura|el contador de agua|el banco de pruebas|la puerta este|el carrete de cable|el armario de herramientas|la rampa de carga|el circuito de calefacción|la cinta de clasificación",
-    "nl": "de groene kist|de messing klep|de dienstregeling van de veerboot|de nachtploeg|het glazen dak|de oude index|de kleine draaibank|de reservepomp|de verfopslag|de koperdraad|het zaadarchief|de leeszaal|de watermeter|de testbank|de oostpoort|de kabelhaspel|de gereedschapskast|het laadperron|het verwarmingscircuit|de sorteerband",
-    "ru": "зелёный ящик|латунный вентиль|расписание парома|ночная смена|стеклянная крыша|старый указатель|малый станок|запасной насос|склад красок|медный провод|архив семян|читальный зал|счётчик воды|испытательный стенд|восточные ворота|кабельный барабан|шкаф с инструментом|погрузочная рампа|контур отопления|сортировочная лента",
+NOISE = r"""<a href="/<w>/<n>"><w> <w></a>
+def <w>(<w>, n=<n>):\n    return <w>[n] + <n>
+SELECT <w> FROM <w> WHERE <w> > <n>
+<w>=<n>&<w>=<n>
+<n>;<n>;<n>
+| <w> | <n> | <n> |
+[<n>] https://<w>.test/<w>/<w>?page=<n>
+* <X>
+&bull; <w> &nbsp; <w>
+<<foreign>>
+<foreign> <foreign>
+<foreign> <n> <foreign>
+ⓘ ✓ ★★★☆☆ <n>
+<rule>
+0x<hex> <hex>
+<T> | <T> | <T>
+🙂🙂 <w>!!
+½ ⅓ x² ≤ <n>
+/usr/<w>/<w>.<w>
+<w>@2x.png, <w>@3x.jpg, <w><n>@2x.<w>
+npm install <w>@<v>
+<w>@<w>:~$ ls
+<X>: <n>
+<X>: <n> kg, <n> cm
+<n> <w>, <n> <w>
+<w> <w> <w>, <w> <n> <w>.
+© <Y> <F>"""
+
+LABELS = {
+    "en": {"N": "Name|Client|Tenant|Signed|Attn|Applicant|Guest|name|Caller|Owner of record", "E": "Mail|E-mail|email|Write to|Reply-To|Inbox", "P": "Phone|Tel|Tel.|Mobile|Cell|Fax|phone|Call|Hotline|Ph.", "I": "ID|Passport|Passport no.|SSN|NI number|Tax ID|Insurance no.|id|National ID|Identity number|ID card", "A": "Address|Home|Residence|Deliver to|Street|addr|Lives at|Site", "R": "Order|Invoice|Batch|Serial|Ticket|Tracking|Part|Ref.|Lot|Article|Counter|order no.|Flight|Booking"},
+    "de": {"N": "Name|Kunde|Mieterin|Gezeichnet|z. Hd.|Anrufer|Inhaberin", "E": "Mail|E-Mail|Post an|Antwort an", "P": "Telefon|Tel.|Mobil|Fax|Handy|Rufnummer", "I": "Ausweis|Reisepass|Pass-Nr.|Steuer-ID|Versichertennummer|Personalausweis|Sozialversicherung|ID", "A": "Anschrift|Adresse|Wohnort|Lieferung an|Wohnhaft", "R": "Bestellung|Rechnung|Charge|Serie|Vorgang|Sendung|Teil|Zähler|Artikel|Auftragsnr.|Buchung"},
+    "fr": {"N": "Nom|Client|Locataire|Signé|À l'attention de|Titulaire", "E": "Courriel|Mail|E-mail|Écrire à", "P": "Téléphone|Tél.|Portable|Fax|Mobile", "I": "Passeport|Carte d'identité|N° fiscal|Sécurité sociale|NIR|Pièce d'identité|ID", "A": "Adresse|Domicile|Livrer à|Résidence", "R": "Commande|Facture|Lot|Série|Dossier|Colis|Pièce|Compteur|Article|Réf.|Réservation"},
+    "es": {"N": "Nombre|Cliente|Inquilina|Firmado|A la atención de|Titular", "E": "Correo|Email|E-mail|Escribir a", "P": "Teléfono|Tel.|Móvil|Fax|Tfno.", "I": "DNI|NIE|Pasaporte|NIF|Seguridad Social|Documento|Cédula|ID", "A": "Dirección|Domicilio|Entregar en|Residencia", "R": "Pedido|Factura|Lote|Serie|Expediente|Envío|Pieza|Contador|Artículo|Ref.|Reserva"},
+    "nl": {"N": "Naam|Klant|Huurder|Getekend|T.a.v.|Houder", "E": "Mail|E-mail|Schrijf naar|Antwoord aan", "P": "Telefoon|Tel.|Mobiel|Fax|Tel", "I": "Paspoort|BSN|Identiteitskaart|Fiscaal nummer|Verzekeringsnr.|Rijbewijs|ID", "A": "Adres|Woonadres|Bezorgen op|Thuis", "R": "Bestelling|Factuur|Partij|Serie|Zaak|Zending|Onderdeel|Meter|Artikel|Ref.|Boeking"},
+    "ru": {"N": "Имя|Ф. И. О.|ФИО|Клиент|Подпись|Кому|Владелец", "E": "Почта|Эл. почта|E-mail|Писать на", "P": "Телефон|Тел.|Моб.|Факс|тел", "I": "Паспорт|СНИЛС|ИНН|Удостоверение|Полис|Документ|Паспорт №", "A": "Адрес|Проживает|Доставить|Прописка", "R": "Заказ|Счёт|Партия|Серия|Заявка|Посылка|Деталь|Счётчик|Артикул|Накладная"},
 }
-TIMES = {
-    "en": "on Monday|on Tuesday|on Thursday|on Friday|in May|after lunch|in the morning|next year", "de": "am Montag|am Dienstag|am Donnerstag|am Freitag|im Mai|nach dem Mittag|am Vormittag|nächstes Jahr",
-    "fr": "lundi|mardi|jeudi|vendredi|en mai|après midi|le matin|l'an prochain", "es": "el lunes|el martes|el jueves|el viernes|en mayo|después de comer|por la mañana|el año que viene",
-    "nl": "op maandag|op dinsdag|op donderdag|op vrijdag|in mei|na de lunch|in de ochtend|volgend jaar", "ru": "в понедельник|во вторник|в четверг|в пятницу|в мае|после обеда|утром|в следующем году",
+TITLES = {"en": "Mr|Mrs|Ms|Dr|Dr.|Prof.|Sir|Miss|Mr.", "de": "Herr|Frau|Dr.|Prof.|Herrn", "fr": "M.|Mme|Dr|Pr|Monsieur|Madame", "es": "Sr.|Sra.|Dr.|Dra.|don|doña", "nl": "dhr.|mevr.|dr.|mevrouw|meneer", "ru": "г-н|г-жа|д-р|проф.|господин"}
+NOUNS = {
+    "en": "window|hammer|boat|letter|orchard|roof tile|clock|carpet|bicycle|radio|sack of flour|violin|map|chimney|tractor|camera|blanket|tea set|contract|notice board|beehive|garden wall|engine|mirror|choir book|lift|saddle|printer|freezer|cheese",
+    "de": "Fenster|Hammer|Boot|Brief|Garten|Dachziegel|Uhr|Teppich|Fahrrad|Radio|Mehlsack|Geige|Karte|Schornstein|Traktor|Kamera|Decke|Vertrag|Aushang|Bienenstock|Mauer|Motor|Spiegel|Aufzug|Sattel|Drucker|Gefrierfach|Käse",
+    "fr": "fenêtre|marteau|bateau|lettre|verger|tuile|horloge|tapis|vélo|radio|sac de farine|violon|carte|cheminée|tracteur|couverture|contrat|affiche|ruche|mur du jardin|moteur|miroir|ascenseur|selle|imprimante|fromage",
+    "es": "ventana|martillo|barco|carta|huerto|teja|reloj|alfombra|bicicleta|radio|saco de harina|violín|mapa|chimenea|tractor|manta|contrato|cartel|colmena|muro|motor|espejo|ascensor|silla|impresora|queso",
+    "nl": "raam|hamer|boot|brief|boomgaard|dakpan|klok|tapijt|fiets|radio|zak meel|viool|kaart|schoorsteen|trekker|deken|contract|prikbord|bijenkorf|tuinmuur|motor|spiegel|lift|zadel|printer|kaas",
+    "ru": "окно|молоток|лодка|письмо|сад|черепица|часы|ковёр|велосипед|радио|мешок муки|скрипка|карта|труба|трактор|одеяло|договор|объявление|улей|забор|мотор|зеркало|лифт|седло|принтер|сыр",
 }
-FIRMS = "Bearings|Logistics|& Co|Institute|GmbH|Mills|Press|Works|Ltd|AG|Foundry"
-TAGS = "alder|heron|copper|saltern|mossgate|winding|tanner|bramble|larkspur|quillmere"
+DETERMINERS = {"en": "the|a|this|her|their|the old|the new|the red|every|our", "de": "das|ein|dieses|der neue|die alte|unser|kein|das rote", "fr": "le|la|un|une|cette|notre|le vieux|la nouvelle", "es": "el|la|un|una|esta|nuestra|el viejo|la nueva", "nl": "het|de|een|die|onze|de oude|het nieuwe", "ru": "старый|новый|наш|этот|красный|чужой|каждый"}
+FIRMS = "Ltd|GmbH|Inc.|SA|BV|AG|Group|Industries|Holdings|Partners|Trading|Motors|Systems|Foods|Textiles|Bakery|Brewery|Shipping|Logistics|Steel|Chemicals|Publishing|Institute|University|Bank|Clinic|School|Airlines|Insurance|& Sons|& Co.|Brothers|Energy|Tools|Paper|Museum|Hotel|Club|Works|Mills|Farms|Studio|Labs|Theatre|Hospital|Garage|Pharmacy|Transport|Electric|Mining|Dairy|Society|Council|Agency|Союз|Завод"
+WATERS = {"en": "Lake {}|Loch {}|River {}|Mount {}|{} Bay|{} Hill|{} Lake|{} Valley|the {} Canal", "de": "den See {}|den {} See|den Berg {}|die {} Brücke|Schloss {}|Burg {}", "fr": "le lac {}|le mont {}|la rivière {}|le canal {}|le château {}", "es": "el lago {}|el monte {}|el río {}|la sierra {}|el castillo {}", "nl": "het meer {}|de berg {}|de rivier {}|het kanaal {}|kasteel {}", "ru": "озеро {}|река {}|гора {}|канал {}|замок {}"}
+MONTHS = {"en": "January|March|April|June|August|October", "de": "Januar|März|April|Juni|August|Oktober", "fr": "janvier|mars|avril|juin|août|octobre", "es": "enero|marzo|abril|junio|agosto|octubre", "nl": "januari|maart|april|juni|augustus|oktober", "ru": "января|марта|апреля|июня|августа|октября"}
 
-# Formats in which people write numbers; 0 is any digit, A a capital letter, a a small one.
-PHONES = "+00 (0)00 0000 0000|0000 00 00000000|000-000-0000|000 0000 0000|00000000000|+00 00 0000 0000|+000000000000|(000) 000-0000|+000 00 000 0000|000 000 0000|+0 000 000 0000|+00000000000|+00 00 00000000|0000-00-00000-000|000/00000000|000 00000 000|000 000 000|000000000|00 00 00 00 00|00.00.00.00.00|+00 000 00 00 00|0.000.000.0000|000-00-00-00|(000) 00000-000|000-000 00 00|+0 (000) 000-00-00|0 000 000 00 00|0(000)000-00-00|+00 (0)0 00 00 00 00|(000) 0000000|+00 00 000 0000|+00 0 00 00 00 00|0000 000000000|0000000000|+00 000 0000"
-IDENTITIES = "000-00-0000|AA 00 00 00 A|000000000|aa-00-00-00-a|AA000000A|000 00 0000|00 000 000 000|A0 A00A 000|A0A00A000|0 00 00 00 000 000 00|000000000000000|0 00 00 00 000 000|0000 00 000|00 00 000000|00000000000|A0000000A|0000.00.000|00000000-A|0.000.000-A|000-000-000 00|00000000A|AA 000 0000|AAA-000000|AA0000000"
+# Formats of numbers as countries write them; 0 is any digit, A a capital letter, a a small one, X a digit or capital letter.
+PHONES = "+44 20 0000 0000|+44 0000 000000|0000 000 0000|00000 000000|(000) 0000 0000|+1 000-000-0000|(000) 000-0000|000-000-0000|000.000.0000|1-000-000-0000|+49 00 00000000|+49 (0)000 0000000|0000/000000|000 0000000|0000 00 00 00|00000-000000|+33 0 00 00 00 00|00 00 00 00 00|00.00.00.00.00|+34 000 000 000|000 00 00 00|000 000 000|+31 00 000 0000|000-0000000|00-00000000|00 0000 0000|+31 (0)00 000 00 00|+7 000 000-00-00|8 (000) 000-00-00|+7 (000) 000 00 00|8-000-000-00-00|0000000000|00000000000|+00000000000|+000000000000|000000000|+43 0 000 0000|+32 000 00 00 00|+41 00 000 00 00|+39 000 000 0000|00000 0000|0 000 000 0000|0000-0000|000 00000|+351 000 000 000|+45 00 00 00 00|0 00 00 00 00 00|(00) 00000-0000|(0000) 000-000|+00 (000) 000 00 00"
+IDENTITIES = "000-00-0000|AA000000A|AA 00 00 00 A|000 000 0000|000000000|AX0X00X00|AX0X00X000|A0000000|AX0000000|00 000 000 000|00000000000|00 000000 A 000|00000000A000|0000000000000|0 00 00 00 000 000 00|0 00 00 00 000 000|000000000000000|00AA00000|000000000000|00000000A|00000000-A|00.000.000-A|A0000000A|A-0000000-A|00/00000000/00|00 00000000 00|0000.00.000|000.000.000|AAXXXXXX0|AA0000000|AA 0000000|A000000|00 00 000000|0000 000000|0000000000|000-000-000 00|AAAAAA00A00A000A|AAAA000000AAAAAA00|00.00.00-000.00|000000-0000|00000000-0000|000.000.000-00|000-000-000|AAAAA0000A|0000 0000 0000|000.0000.0000.00|AAA000000|AA-000000|AAA 000000|0000000A|a0000000a|aa-00-00-00-a|0-0000-00000-00-0|AA 000 000 A"
+REFERENCES = "00000000000|000000000000|000-00-00000|000-000-0000|00-0000|AA-0000-000|0000000|A000|AA0000|000/00|0000-00-00000|R-00000|00000000|0000000000|AA000000000AA|00000-00|AAA-00-000|X0X0X0X0|AA00000000|0.000.000|00,000,000|00000|000000|Y000-00|AA/0000/00|0000-000|000000000|00-000-0000|0000.0000|A-00000000"
 
-GIVEN_START, GIVEN_END = "Pel|Quin|Dov|Ul|Mir|Yor|Jol|Zan|Ran|Nar|Ked|Fen|Hal|Tav|Osk|Vek|Ily|Sel|Bri|Ro|An|Mar|El|Tom|Kar|Lu|Bor|Git|Hen|Sve", "wen|mira|esh|ath|in|on|u|ar|ela|dra|is|ko|a|as|ine|ert|o|ra|la|mund|ik"
-FAMILY_START, FAMILY_END = "Vost|Lorm|Tass|Halv|Grav|Brenk|Pint|Zell|Sarn|Mell|Korv|Yarr|Thal|Umb|Wex|Dask|Fosk|Ruvv|Quer|Ost|Jans|Berg|Lind|Rom|Stev|Kov|Nav|Hart|Weis", "sen|mann|ley|oy|ar|ard|ane|ette|ovic|usz|ingham|ebrook|rand|illo|on|and|er|off|ez|ini|ström|wood"
-TOWN_START, TOWN_END = "Tin|Vel|Kor|Ash|Mar|Dun|Bren|Sol|Ul|Pav|Nor|Hel|Wal|Rad", "ville|wick|ford|by|ek|ria|ova|heim|mar|stead|ton|burg"
-PARTICLES = "von|van der|de la|del|ter|von der|de|di"
+GIVEN = "Anna|Peter|Maria|Thomas|Laura|Paul|Julia|Martin|Sophie|David|Elena|Lukas|Ingrid|Carlos|Lucía|Pierre|Amélie|Jan|Femke|Willem|Olga|Ivan|Nadia|James|Emily|Robert|Grace|Hassan|Aisha|Mei|Kenji|Priya|Arjun|Zoë|Björn|Łukasz|José|Chloé|Tomasz|Katrin"
+FAMILY = "Smith|Jones|Brown|Walker|Müller|Schmidt|Weber|Fischer|Dupont|Martin|Lefèvre|Moreau|García|López|Fernández|Ruiz|Jansen|Visser|Bakker|Smit|Ivanova|Petrov|Sokolov|Kowalski|Nowak|Rossi|Nguyen|Tanaka|Khan|Okafor|Silva|Horvat|Larsson|Øster|Yilmaz|MacLeod|McBride|Fitzgerald"
+GIVEN_RU, FAMILY_RU, FATHER_RU = "Анна|Пётр|Мария|Иван|Ольга|Сергей|Елена|Дмитрий|Нина|Олег", "Иванов|Петрова|Смирнов|Кузнецова|Соколов|Попова|Лебедев|Козлова|Новиков|Морозова", "Иванович|Сергеевна|Петрович|Олеговна|Ильич|Дмитриевна"
+PARTICLES = "von|van|van der|van den|de|de la|del|da|di|du|ter|le|al|zu|bin"
+ONSETS, VOWELS, CODAS = "b|br|c|ch|d|dr|f|fl|g|gr|h|j|k|kl|l|m|n|p|pr|qu|r|s|sch|st|t|th|tr|v|w|y|z|", "a|e|i|o|u|ai|ee|ie|ou|á|é|ü|y", "n|r|s|l|m|t|ck|nd|rt|x||||"
+ENDS_NAME = "son|sen|mann|er|ski|ova|ov|ez|ini|eau|ard|ley|ton|o|a|ic|dze|yan|stra|wood|ford|berg|feld|ois|ette|ini|us"
+ENDS_TOWN = "ton|ville|burg|ford|stadt|hausen|ham|bury|mouth|port|dorf|dijk|recht|grad|sk|ino|mont|ac|puerto|haven|field|bridge|wick|by|stead|heim|ek|ria"
+ROOTS = "Garden|King|Victoria|North|School|Church|Maple|Cedar|Harbour|Castle|Bridge|Lincoln|Chapel|Grange|Elm|Station|York|Hill|River|Market|Queen|Forest|Spring"
+ENDS_EN = "Street|St|St.|Road|Rd|Lane|Avenue|Ave|Ave.|Close|Drive|Dr.|Way|Crescent|Court|Terrace|Square|Boulevard|Blvd|Place|Gardens|Row|Hill|Walk"
+ROOTS_DE, ENDS_DE, FREE_DE = "Bahnhof|Goethe|Haupt|Kirch|Berg|Wald|Friedrich|Rosen|Schiller|Ring|Markt|Eichen|Wiesen|Dorf|Garten|Brunnen|Amsel", "straße|str.|strasse|weg|gasse|allee|platz|ring|damm|ufer|steig", "Am Alten Markt|Unter den Eichen|An der Kirche|Im Winkel|Zum Hafen|Auf dem Berg|Alte Landstraße|Am Bahndamm|Hinter der Mauer"
+STREETS_FR, OF_FR = "rue|avenue|av.|boulevard|bd|place|impasse|chemin|allée|quai|route|cours", "de la Gare|du Marché|des Lilas|Victor Hugo|de l'Abbaye|Pasteur|des Écoles|du Moulin|de la Fontaine|Jean Jaurès|des Vignes|du Château|de Bretagne|Saint-Michel"
+STREETS_ES, OF_ES = "Calle|C/|Avenida|Avda.|Av.|Plaza|Paseo|Camino|Ronda|Travesía|calle|Carrera", "Mayor|de la Luna|del Carmen|San Juan|de los Olivos|de la Fuente|del Mar|Goya|de Toledo|del Castillo|de la Estación|Nueva|de las Flores"
+ROOTS_NL, ENDS_NL, FREE_NL = "Dorp|Stations|Prinsen|Beatrix|Eiken|Haven|Kasteel|Rozen|Water|Markt|Hoog|Wilhelmina|Beuken", "straat|laan|weg|plein|kade|gracht|singel|dijk|hof|steeg|pad", "Oude Markt|Lange Dijk|Nieuwe Haven|Korte Brink"
+STREETS_RU, KINDS_RU = "Ленина|Пушкина|Мира|Гагарина|Лесная|Школьная|Центральная|Вокзальная|Новая|Зелёная|Победы|Набережная", "ул.|улица|пр.|проспект|пер.|переулок|бульвар|шоссе|пл."
 LATIN, CYRILLIC = "a b v g d e z i j k l m n o p r s t u f h c y w q x".split(), "а б в г д е з и ж к л м н о п р с т у ф х к й в к кс".split()
-STREETS_EN, ENDS_EN = "Copper|Alder|Bramble|Heron|Winding|Tanner|Mossgate|Saltern|Larkspur|Quillmere|Mill|Church|Park|Oak", "Street|St|Road|Lane|Close|Row|Ave.|Blvd|Ave.|Drive"
-STEMS_DE, ENDS_DE = "Mühlen|Erlen|Gerber|Reiher|Salz|Kupfer|Linden|Ginster|Garten|Schul", "straße|str.|weg|gasse|straße"
-STREETS_FR, ENDS_FR = "rue|avenue|av.|impasse|chemin|place|boulevard|rue|avenue", "de la Saline|des Tanneurs|du Vieux Four|du Petit Pont|des Aulnes|des Quatre Vents|de l'Église|du Cuivre"
-STREETS_ES, ENDS_ES = "Calle|C/|Avenida|Plaza|Paseo|Camino|Calle|C/", "del Cobre|de la Sal|del Molino|del Horno Viejo|de la Garza|de los Curtidores|del Prado|de la Iglesia"
-STEMS_NL, ENDS_NL = "Koper|Molen|Reiger|Touw|Zout|Linden|Kerk|School", "straat|laan|gracht|pad|weg|plein"
-STREETS_RU = "Мельничная|Медная|Заречная|Речная|Соляная|Ольховая|Садовая|Школьная"
 
 
 class Writer:
-    """Writes one text and keeps where its personal values stand."""
+    """Writes pieces of one text: (value, kind or None)."""
 
-    def __init__(self, rng: random.Random) -> None:
-        self.rng = rng
-        self.name = ("", "")
+    def __init__(self, rng: random.Random, lang: str) -> None:
+        self.rng, self.lang = rng, lang
+        self.last = ("", "")
 
     def pick(self, choices: str) -> str:
         return self.rng.choice(choices.split("|"))
@@ -82,114 +518,241 @@ class Writer:
         return self.rng.random() < p
 
     def fill(self, form: str) -> str:
-        letters = "ABCDEFGHJKLMNPQRSTWXYZ"
-        return re.sub("[0Aa]", lambda m: str(self.rng.randrange(10)) if m[0] == "0" else self.rng.choice(letters) if m[0] == "A" else self.rng.choice(letters).lower(), form)
-
-    def one(self, start: str, end: str) -> str:
-        word = self.pick(start) + self.pick(end)
-        if self.odds(0.15):  # a word of no known parts
-            word = "".join(self.rng.choice("bdfgklmnprstvz") + self.rng.choice("aeiou") for _ in range(self.rng.randint(2, 3))).capitalize() + self.rng.choice(["", "n", "s", "r", "t"])
-        return word
-
-    def person(self, lang: str) -> tuple[str, str]:
-        """(title or "", name)"""
-        given, family = self.one(GIVEN_START, GIVEN_END), self.one(FAMILY_START, FAMILY_END)
-        if self.odds(0.12):
-            given += "-" + self.one(GIVEN_START, GIVEN_END)
-        if self.odds(0.12):
-            family += "-" + self.one(FAMILY_START, FAMILY_END)
-        self.name = (given, family)
+        letters, rng = "ABCDEFGHJKLMNPQRSTUVWXYZ", self.rng
+        take = {"0": lambda: str(rng.randrange(10)), "A": lambda: rng.choice(letters), "a": lambda: rng.choice(letters).lower(), "X": lambda: rng.choice(letters + "0123456789")}
+        return "".join(take[c]() if c in take else c for c in form)
+
+    def made(self, ends: str) -> str:
+        """A pronounceable word that nobody knows."""
+        word = "".join(self.pick(ONSETS) + self.pick(VOWELS) + (self.pick(CODAS) if self.odds(0.4) else "") for _ in range(self.rng.randint(1, 2)))
+        return (word + self.pick(ends)).capitalize() if self.odds(0.7) or len(word) < 3 else word.capitalize()
+
+    def person(self) -> str:
+        rng, russian = self.rng, self.lang == "ru" and self.odds(0.6)
+        given = self.pick(GIVEN_RU) if russian and self.odds(0.5) else self.pick(GIVEN) if self.odds(0.25) else self.made("a|e|o|an|in|us|ine|el|is|ko")
+        family = self.pick(FAMILY_RU) if russian and self.odds(0.5) else self.pick(FAMILY) if self.odds(0.25) else self.made(ENDS_NAME)
+        if russian:
+            given, family = cyrillic(given), cyrillic(family)
+        self.last = (given, family)
+        if self.odds(0.08):
+            given += "-" + (cyrillic(self.made("a|o")) if russian else self.made("a|e|o|an"))
+        if self.odds(0.08):
+            family += "-" + (cyrillic(self.made(ENDS_NAME)) if russian else self.made(ENDS_NAME))
+        if russian and self.odds(0.3):
+            father = self.pick(FATHER_RU)
+            return rng.choice([f"{given} {father} {family}", f"{family} {given} {father}", f"{family} {given[0]}. {father[0]}.", f"{given[0]}. {father[0]}. {family}"])
         if self.odds(0.05):
-            family = "O'" + family
-        elif self.odds(0.15):
+            family = rng.choice(["O'", "D'", "O’", "Mc", "Mac"]) + family
+        elif self.odds(0.14):
             family = self.pick(PARTICLES) + " " + family
-        form = self.rng.random()
-        if form < 0.12:
-            name = f"{family}, {given}"
-        elif form < 0.22:
-            name = f"{family.upper()} {given}"
-        elif form < 0.34:
-            name = f"{given[0]}. {family}"
-        else:
-            name = f"{given} {self.rng.choice('ABDEHKLMNRST')}. {family}" if self.odds(0.12) else f"{given} {family}"
-        if lang == "ru" and self.odds(0.55):
-            name = cyrillic(name)
-        if self.odds(0.05):
-            name = name.lower()
-        if self.odds(0.05):
-            name = name.replace(" ", "  ", 1)
-        return self.rng.choice(["", "", "", "Dr. ", "Prof. "]), name
+        elif self.odds(0.08):
+            family += " " + self.made(ENDS_NAME)
+        form = rng.random()
+        if form < 0.1:
+            return f"{family}, {given}"
+        if form < 0.18:
+            return f"{family.upper()} {given}" if self.odds(0.6) else f"{given} {family.upper()}"
+        if form < 0.3:
+            return f"{given[0]}. {family}" if self.odds(0.8) else f"{given[0]}. {rng.choice('ABCDEGHJKLMPRSTW')}. {family}"
+        if form < 0.34:
+            return f"{family} {given}"
+        name = f"{given} {rng.choice('ABCDEFGHJKLMNPRSTW')}. {family}" if self.odds(0.1) else f"{given} {self.made('a|o|an')} {family}" if self.odds(0.05) else f"{given} {family}"
+        return name.lower() if self.odds(0.03) else name.upper() if self.odds(0.03) else name.replace(" ", "  ", 1) if self.odds(0.03) else name
 
     def email(self) -> str:
-        given, family = (re.split("-", x)[0].lower() for x in self.name) if self.name[0] and self.odds(0.7) else (self.one(GIVEN_START, GIVEN_END).lower(), self.one(FAMILY_START, FAMILY_END).lower())
-        local = self.rng.choice([f"{given}.{family}", f"{family}_{given}", f"{given}{self.rng.randrange(1, 99)}", f"{given}-{self.rng.choice('abdefklmuy')}", f"{given[0]}{family}", f"{family}+{self.rng.choice(['list', 'work', 'x1'])}"])
-        domain = self.rng.choice(["example.com", "example.org", "tannery.test", "kestrel.example", "mail.ostbank.example", "post.velmar.invalid", "lathe-club.example.net", f"{self.pick(TAGS)}.example", f"mail.{self.pick(TAGS)}.net", f"{self.pick(TAGS)}-works.org"])
-        way = self.rng.random()
-        if way < 0.1:
-            return f"{local} at {domain.replace('.', ' dot ')}"
-        if way < 0.26:
-            return local + self.rng.choice([" [at] ", " (at) ", " AT ", "[at]", "(at)", " {at} "]) + domain
-        if way < 0.38:
-            return local.title().replace("+X", "+x") + "@" + domain.upper()
-        return f"{local}@{domain}"
-
-    def foreign(self) -> str:
-        """Some words of random letters of another script."""
-        low, high = self.rng.choice([(0x0621, 0x064A), (0x05D0, 0x05EA), (0x03B1, 0x03C9), (0x0E01, 0x0E2E), (0x3041, 0x3090), (0xAC00, 0xB000), (0x4E00, 0x6000), (0x0905, 0x0939)])
-        letters = [chr(self.rng.randint(low, high)) for _ in range(12)]
-        return " ".join("".join(self.rng.choice(letters) for _ in range(self.rng.randint(2, 7))) for _ in range(self.rng.randint(2, 6)))
-
-    def street(self, lang: str) -> str:
-        lang = self.rng.choice(["en", "de", "fr", "es", "nl", "ru"]) if self.odds(0.15) else lang
-        n = str(self.rng.choice([self.rng.randrange(1, 40), self.rng.randrange(1, 300)]))
+        rng = self.rng
+        ascii_only = lambda x: re.sub("[^a-z]", "", x.lower()) or "info"
+        given, family = (ascii_only(x) for x in (self.last if self.last[0].isascii() and self.odds(0.6) and self.last[0] else (self.made("a|o"), self.made(ENDS_NAME))))
+        local = rng.choice([f"{given}.{family}", f"{given}{family}", f"{given}_{family}", f"{family}.{given[0]}", f"{given[0]}{family}", f"{given}{rng.randrange(1, 2010)}", f"{family}-{given}", given, family, "info", "office", f"{given}.{family}+{self.word()}", f"{given[0]}.{family}{rng.randrange(99)}"])
+        host = ".".join(self.word() for _ in range(rng.choice([1, 1, 1, 2]))) + rng.choice([".com", ".org", ".net", ".de", ".fr", ".es", ".nl", ".ru", ".co.uk", ".test", ".example", ".io", ".edu", ".info", "-group.com", "24.de"])
+        way = rng.random()
+        if way < 0.06:
+            return f"{local} at {host.replace('.', ' dot ')}"
+        if way < 0.2:
+            sign = rng.choice([" [at] ", "[at]", " (at) ", "(at)", " AT ", " {at} ", " at "])
+            return local + sign + (host.replace(".", rng.choice([" [dot] ", "[dot]", " (dot) ", " dot "])) if self.odds(0.4) else host)
+        whole = f"{local}@{host}"
+        return whole.upper() if self.odds(0.05) else local.capitalize() + f"@{host}" if self.odds(0.07) else whole
+
+    def word(self) -> str:
+        return "".join(self.rng.choice("bcdfghklmnprstvw") + self.rng.choice("aeiou") for _ in range(self.rng.randint(2, 4))) + self.rng.choice(["", "n", "s", "x", "r"])
+
+    def street(self) -> str:
+        rng, lang = self.rng, self.lang if self.odds(0.88) else self.rng.choice(LANGUAGES)
+        n = str(rng.choice([rng.randrange(1, 30), rng.randrange(1, 130), rng.randrange(1, 300)]))
         if lang == "en":
-            n += self.rng.choice("abc") if self.odds(0.15) else ""
-            out = f"{n} {self.pick(STREETS_EN)} {self.pick(ENDS_EN)}"
-            out = out.upper() if self.odds(0.1) else out
-            unit = self.rng.random()
-            return f"Flat {self.rng.randrange(1, 10)}, {out}" if unit < 0.2 else f"{out}, Apt {self.rng.randrange(1, 30)}" if unit < 0.4 else out
+            n = str(rng.randrange(100, 20000)) if self.odds(0.15) else n + (rng.choice("abcdAB") if self.odds(0.12) else "")
+            root = self.pick(ROOTS) if self.odds(0.5) else self.made(ENDS_TOWN)
+            out = f"{n} {rng.choice(['N ', 'S ', 'West ', 'Old ', 'Great ', 'St ']) if self.odds(0.1) else ''}{root} {self.pick(ENDS_EN)}"
+            unit = f"{rng.choice(['Flat', 'Apt', 'Apt.', 'Unit', 'Suite', 'Apartment', 'Room'])} {rng.randrange(1, 40)}{rng.choice(['', '', 'A', 'B'])}"
+            form = rng.random()
+            out = f"{unit}, {out}" if form < 0.15 else f"{out}, {unit}" if form < 0.32 else f"{out} #{rng.randrange(1, 40)}" if form < 0.35 else out
+            return out.upper() if self.odds(0.1) else out
         if lang == "de":
-            n += self.rng.choice(["a", "b", " c"]) if self.odds(0.25) else ""
-            where = self.rng.random()
-            stem = self.pick(STEMS_DE)
-            return f"Am {stem}platz {n}" if where < 0.2 else f"An der {stem}gasse {n}" if where < 0.35 else f"{stem}{self.pick(ENDS_DE)} {n}"
+            n += rng.choice(["a", "b", " c", "c", f"-{int(n) + 2}", f"/{rng.randrange(1, 9)}"]) if self.odds(0.22) else ""
+            root = self.pick(ROOTS_DE) if self.odds(0.5) else self.made(ENDS_TOWN)
+            form = rng.random()
+            if form < 0.15:
+                return f"{self.pick(FREE_DE)} {n}"
+            if form < 0.3:
+                return f"{rng.choice(['Am', 'An der', 'Im', 'Zur'])} {root}{self.pick(ENDS_DE)} {n}"
+            return f"{root}{'er ' + rng.choice(['Straße', 'Str.', 'Weg', 'Allee']) if self.odds(0.25) else self.pick(ENDS_DE)} {n}"
         if lang == "fr":
-            return f"{n}{self.rng.choice([' bis', ' ter', '', '', ''])}{self.rng.choice(['', ','])} {self.pick(STREETS_FR)} {self.pick(ENDS_FR)}"
+            of = self.pick(OF_FR) if self.odds(0.6) else rng.choice(["de ", "du ", "des ", ""]) + self.made(ENDS_TOWN)
+            out = f"{n}{rng.choice([' bis', ' ter', ' B', 'bis']) if self.odds(0.2) else ''}{',' if self.odds(0.35) else ''} {self.pick(STREETS_FR)} {of}"
+            return f"{out}, {rng.choice(['appt', 'appartement', 'bât.', 'apt.'])} {rng.choice(['B', 'C', str(rng.randrange(1, 40))])}" if self.odds(0.12) else out
         if lang == "es":
-            return f"{self.pick(STREETS_ES)} {self.pick(ENDS_ES)}{self.rng.choice([' ', ', ', ' n.º '])}{n}"
+            of = self.pick(OF_ES) if self.odds(0.6) else rng.choice(["de ", "del ", ""]) + self.made(ENDS_TOWN)
+            out = f"{self.pick(STREETS_ES)} {of}{rng.choice([' ', ', ', ', n.º ', ', nº ', ' núm. '])}{n}"
+            return f"{out}, {rng.choice(['{}.º {}', '{}º {}', 'piso {}, puerta {}', '{} {}']).format(rng.randrange(1, 9), rng.choice('ABCDE'))}" if self.odds(0.2) else out
         if lang == "nl":
-            return f"{self.pick(STEMS_NL)}{self.pick(ENDS_NL)} {n}{self.rng.choice(['', '', 'a', 'b', '-I', '-II', '-III', '-hs'])}"
-        name, house = self.pick(STREETS_RU), self.rng.choice([f", {n}", f", д. {n}", f", {n}, кв. {self.rng.randrange(1, 90)}", f", д. {n}, кв. {self.rng.randrange(1, 90)}"])
-        return self.rng.choice([f"ул. {name}", f"{name} ул.", f"улица {name}"]) + house
+            n += rng.choice(["a", "b", "-II", "-I", " bis", "-hs", "-2", "A", " B"]) if self.odds(0.25) else ""
+            return f"{self.pick(FREE_NL)} {n}" if self.odds(0.15) else f"{self.pick(ROOTS_NL) if self.odds(0.5) else self.made(ENDS_TOWN)}{self.pick(ENDS_NL)} {n}"
+        name = self.pick(STREETS_RU) if self.odds(0.6) else cyrillic(self.made("ova|skaja|naja"))
+        house = rng.choice([", {}", ", д. {}", ", дом {}", " {}", ", д.{}"]).format(n)
+        extra = rng.choice([f", кв. {rng.randrange(1, 200)}", f", корп. {rng.randrange(1, 5)}, кв. {rng.randrange(1, 90)}", f", стр. {rng.randrange(1, 5)}", f", квартира {rng.randrange(1, 99)}"]) if self.odds(0.45) else ""
+        return (f"{self.pick(KINDS_RU)} {name}" if self.odds(0.75) else f"{name} {self.pick(KINDS_RU)}") + house + extra
+
+    def grouped_phone(self) -> str:
+        """Any country's number in any grouping."""
+        rng = self.rng
+        between = rng.choice([" ", " ", "-", ".", "/", ""])
+        start = rng.choice(["+{}", "00{}", "+{}", "0"]).format(rng.choice(["1", "7", "30", "31", "33", "34", "39", "41", "43", "44", "46", "48", "49", "52", "55", "61", "81", "86", "91", "351", "353", "358", "380", "420"]))
+        area = "".join(rng.choice("123456789") for _ in range(rng.randint(1, 4)))
+        area = area if start != "0" else "0" + area
+        start = "" if start == "0" else start + (between if self.odds(0.8) else " ")
+        if self.odds(0.2):
+            area = f"({area})" if self.odds(0.5) or not start else f"(0){rng.choice(['', ' '])}{area}"
+        rest = [self.fill("0" * rng.randint(2, 5)) for _ in range(rng.randint(1, 3))]
+        return start + area + (between if self.odds(0.7) else rng.choice([" ", "/", "-"])) + between.join(rest)
 
-    def slot(self, kind: str, lang: str) -> list[tuple[str, str | None]]:
+    def grouped_identity(self) -> str:
+        """Digits and letters in any grouping, seven to fourteen of them, more digits than letters."""
         rng = self.rng
-        if kind == "N":
-            title, name = self.person(lang)
-            return [(title, None), (name, "name")]
-        if kind in "EPIA":
-            value = {"E": self.email, "P": lambda: self.fill(self.pick(PHONES)), "I": lambda: self.fill(self.pick(IDENTITIES)), "A": lambda: self.street(lang)}[kind]()
-            if kind == "P" and self.odds(0.2):
-                value = value.replace(" ", rng.choice("  "))
-            return [(value, KIND[kind])]
-        plain = {
-            "T": lambda: self.one(TOWN_START, TOWN_END), "F": lambda: f"{self.one(FAMILY_START, FAMILY_END)} {self.pick(FIRMS)}", "L": lambda: self.one(rng.choice([FAMILY_START, GIVEN_START]), FAMILY_END),
-            "W": lambda: self.pick(TIMES[lang]), "X": lambda: self.pick(THINGS[lang]), "Y": lambda: str(rng.randrange(1990, 2026)), "0": lambda: str(rng.randrange(2, 150)), "clock": lambda: self.fill("00:00"),
-            "date": lambda: self.fill(rng.choice(["2000-00-00", "1900-00-00"])), "count": lambda: rng.choice([self.fill("00,000,000"), self.fill("00000000000"), self.fill("0,000,000"), self.fill("000000000")]),
-            "order": lambda: self.fill(rng.choice(["0000-00-00000", "000-00-00000", "0000-00-0000", "A000/00", "00000000"])), "tag": lambda: self.pick(TAGS),
-            "script": self.foreign, "dots": lambda: rng.choice(".?-=_*") * rng.randint(3, 40),
-        }[kind]
-        return [(plain(), None)]
-
-    def sentence(self, frame: str, lang: str) -> list[tuple[str, str | None]]:
+        length = rng.randint(7, 14)
+        signs = ["0"] * length
+        for at in rng.sample([0, 1, 2, length - 1, length - 2, rng.randrange(length)], rng.choice([0, 0, 1, 1, 2, 2, 3])):
+            signs[at] = "A"
+        between, out, at = rng.choice([" ", " ", "", "-", "."]), [], 0
+        while at < length:
+            step = rng.randint(2, 5)
+            out.append("".join(signs[at:at + step]))
+            at += step
+        return self.fill(between.join(out))
+
+    def value(self, kind: str) -> str:
+        rng = self.rng
+        if kind == "P":
+            number = self.fill(self.pick(PHONES)) if self.odds(0.6) else self.grouped_phone()
+            return number.replace(" ", rng.choice("  ")) if self.odds(0.12) else number
+        if kind == "I":
+            number = self.fill(self.pick(IDENTITIES)) if self.odds(0.7) else self.grouped_identity()
+            return number.replace(" ", rng.choice("  ")) if self.odds(0.06) else number
+        return {"N": self.person, "E": self.email, "A": self.street}[kind]()
+
+    def plain(self, kind: str) -> str:
+        rng = self.rng
+        if kind == "n":
+            return str(rng.choice([rng.randrange(2, 20), rng.randrange(2, 150), rng.randrange(100, 3000)]))
+        if kind == "D":
+            return rng.choice([f"{rng.randrange(1, 29)} {self.pick(MONTHS[self.lang])}", f"{rng.randrange(1, 29)} {self.pick(MONTHS[self.lang])} {rng.randrange(1950, 2030)}", self.fill("0.0.2000"), self.fill("20.00.2000"), self.fill("2000-00-00"), self.fill("00/00/2000")])
+        if kind == "T":
+            town = self.made(ENDS_TOWN)
+            town = f"{rng.choice(['Saint ', 'Bad ', 'New ', 'San ', 'Port '])}{town}" if self.odds(0.06) else town
+            return cyrillic(town) if self.lang == "ru" and self.odds(0.5) else town
+        if kind == "F":
+            name = self.made(ENDS_NAME) if self.odds(0.8) else f"{self.made(ENDS_NAME)} & {self.made(ENDS_NAME)}"
+            return f"{name} {self.pick(FIRMS)}" if self.odds(0.85) else f"{self.pick(FIRMS[:120].rsplit('|', 1)[0])} {name}" if self.odds(0.3) else f"{name} {self.pick(FIRMS)} {self.pick('Ltd|GmbH|Inc.|SA|BV')}"
+        if kind == "G":
+            name = self.made(ENDS_NAME + "|" + ENDS_TOWN)
+            return self.pick(WATERS[self.lang]).format(cyrillic(name) if self.lang == "ru" and self.odds(0.5) else name)
+        if kind == "X":
+            noun = self.pick(NOUNS[self.lang])
+            if self.odds(0.35):  # a word nobody knows, small as common nouns are, or a capital where German has one
+                noun = self.made("a|er|en|um|ik|al") if self.lang == "de" else self.made("a|er|on|um|ik|al").lower()
+                noun = cyrillic(noun) if self.lang == "ru" else noun
+            extra = self.word() + " " if self.odds(0.15) else ""
+            extra = cyrillic(extra) if self.lang == "ru" else extra
+            return f"{self.pick(DETERMINERS[self.lang]) + ' ' if self.odds(0.8) else ''}{extra}{noun}"
+        if kind == "foreign":
+            low, high = rng.choice([(0x0621, 0x064A), (0x05D0, 0x05EA), (0x03B1, 0x03C9), (0x0E01, 0x0E2E), (0x3041, 0x3090), (0xAC00, 0xB000), (0x4E00, 0x6000), (0x0905, 0x0939)])
+            return " ".join("".join(chr(rng.randint(low, high)) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 5)))
+        simple = {
+            "H": lambda: rng.choice([self.fill("00:00"), self.fill("0:00"), self.fill("0.00"), f"{rng.randrange(1, 13)} pm", str(rng.randrange(7, 22))]), "Y": lambda: str(rng.randrange(1850, 2030)),
+            "m": lambda: rng.choice(["${}", "{} €", "{} EUR", "£{}", "{},50 €", "{}.00", "{} million"]).format(rng.choice([rng.randrange(2, 900), self.fill("0,000"), self.fill("00 000"), self.fill("0.000.000")])),
+            "R": lambda: self.fill(self.pick(REFERENCES)), "v": lambda: f"{rng.randrange(9)}.{rng.randrange(30)}" + rng.choice(["", f".{rng.randrange(9)}", "-beta", "rc1"]), "isbn": lambda: self.fill(rng.choice(["978-0-00-000000-0", "9780000000000", "0-000-00000-0"])),
+            "file": lambda: rng.choice(["{}@2x.png", "{}@3x.jpg", "{}_1.txt", "{}.zip", "{}@2.0.js", "{}@1x.svg"]).format(self.word() + rng.choice(["", str(rng.randrange(99))])), "w": self.word, "n3": lambda: self.fill("000"), "hex": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([4, 8, 16, 32]))), "rule": lambda: rng.choice("-=_*~.·#") * rng.randint(3, 40),
+        }
+        return str(simple[kind]())
+
+    def frame(self, form: str) -> list[tuple[str, str | None]]:
+        """A sentence's pieces; its first letter is a capital if an ordinary word stands first."""
         parts: list[tuple[str, str | None]] = []
-        self.name = ("", "")
-        for i, piece in enumerate(re.split(r"<(\w+)>", frame)):
-            parts += self.slot(piece, lang) if i % 2 else [(piece, None)]
-        first = parts[0] if parts[0][0] else parts[1] if len(parts) > 1 else ("", None)
-        if first[1] is None and first[0][:1].islower() and not frame.startswith(("name", "nom", "naam", "имя")):
-            at = parts.index(first)
-            parts[at] = (first[0][0].upper() + first[0][1:], None)
+        self.last = ("", "")
+        for i, piece in enumerate(re.split(r"<(\w+)>", form)):
+            if not i % 2:
+                parts.append((piece, None))
+            elif piece in KIND:
+                if piece == "N" and self.odds(0.18):
+                    parts.append((self.pick(TITLES[self.lang]) + " ", None))
+                value = self.value(piece)
+                # a point that ends both the value and the sentence stands once
+                parts.append((value, KIND[piece]))
+            else:
+                parts.append((self.plain(piece), None))
+        at = next((i for i, p in enumerate(parts) if p[0]), None)
+        if at is not None and parts[at][1] is None:
+            parts[at] = (parts[at][0][:1].upper() + parts[at][0][1:], None)
+        return parts
+
+    def joined(self) -> str:
+        """A form of the parts above: most with a name or another value, some with none."""
+        rng, lang = self.rng, self.lang
+        before, after = self.pick(BEFORE[lang]), self.pick(AFTER[lang])
+        draw = rng.random()
+        if draw < 0.5:
+            who = "<N>"
+            if self.odds(0.35):  # in brackets, set off by commas, or coordinated
+                other = rng.choice("EPPPIA")
+                both = {"en": "and", "de": "und", "fr": "et", "es": "y", "nl": "en", "ru": "и"}[lang]
+                who = rng.choice([f"<N> (<{other}>)", f"<N>, <{other}>,", f"<N> {both} <N>", "<N>, <N>", f"<N>: <{other}>", f"<N> (<T>)", f"<N> – <{other}>"])
+            form = f"{before} {who}{'' if after[0] == ',' else ' '}{after}" if self.odds(0.7) else f"{who}{'' if after[0] == ',' else ' '}{after}"
+        elif draw < 0.72:
+            kind = rng.choice("EPIA")
+            form = f"{before if self.odds(0.7) else rng.choice(['<N>', '<T>', '<X>'])} {self.pick(TOWARDS[kind][lang])} <{kind}>"
+            form += " " + after.lstrip(", ") if self.odds(0.4) else ""
+        elif draw < 0.85:
+            form = f"{before} {self.pick(ORDINARY_AFTER[lang])}" if self.odds(0.7) else self.pick(ORDINARY_AFTER[lang])
+        else:
+            form = f"{rng.choice(['<T>', '<F>', '<X>', '<R>', '<D>', '<G>'])} {after.lstrip(', ')}"
+        if self.odds(0.25):
+            form += rng.choice([", ", " and " if lang == "en" else ", "]) + self.pick(BEFORE[lang]) + " " + (rng.choice(["<N>", "<N>", "<T>", "<F>", "<X>"]))
+        return form + rng.choice([".", ".", ".", "!", "?", "", "…"])
+
+    def listed(self) -> list[tuple[str, str | None]]:
+        """Some values one after another, as in a signature, a form, a line of a table or a log."""
+        rng, parts = self.rng, []
+        self.last = ("", "")
+        kinds = rng.sample("NEPIAR", rng.randint(1, 4)) if self.odds(0.7) else [rng.choice("NEPIAR")]
+        if "N" in kinds and self.odds(0.6):
+            kinds = ["N", *[k for k in kinds if k != "N"]]
+        join = rng.choice([", ", ", ", "; ", "\n", "\n", "\n", " | ", " / ", ";", " - ", "\t", ",", " – ", " ("])
+        closing = ")" if join == " (" else ""
+        labels, sign = rng.random(), rng.choice([": ", ": ", "=", " ", ": ", ":"])
+        for n, kind in enumerate(kinds):
+            parts.append((join if n else "", None))
+            if labels < 0.45 or (labels < 0.7 and self.odds(0.5)) or kind == "R" or len(kinds) == 1:
+                label = self.pick(LABELS[self.lang][kind])
+                parts.append(((label.lower() if sign == "=" else label) + sign, None))
+            if kind == "N" and self.odds(0.1):
+                parts.append((self.pick(TITLES[self.lang]) + " ", None))
+            parts.append((self.plain("R"), None) if kind == "R" else (self.value(kind), KIND[kind]))
+            if closing and n:
+                parts.append((closing, None))
+            if kind == "A" and self.odds(0.4):
+                parts.append((f", {self.plain('T')}" if self.odds(0.5) else f", {self.fill('00000')} {self.plain('T')}", None))
+        if self.odds(0.15):
+            parts.append((f"{join}{self.word()}={self.plain('n')}" if sign == "=" else ".", None))
         return parts
 
 
@@ -198,44 +761,52 @@ def cyrillic(text: str) -> str:
     return "".join(c if c.lower() not in table else table[c.lower()].capitalize() if c.isupper() else table[c.lower()] for c in text)
 
 
-def training_texts(size: int, seed: int) -> list[tuple[str, list[Span]]]:
-    """`size` texts with the (begin, end, kind) of their values."""
+def miscode(text: str) -> str:
+    """What text looks like after decoding with the wrong table."""
+    return text.encode().decode("latin-1")
+
+
+def training_texts(size: int, seed: int, held_out: dict[str, list[str]] | None = None) -> list[tuple[str, list[Span]]]:
+    """`size` texts with the (begin, end, kind) of their values; `held_out`: sentences to take in place of PERSONAL's."""
     rng = random.Random(seed)
+    personal = held_out or {lang: forms.split("\n") for lang, forms in PERSONAL.items()}
+    ordinary, noise = {lang: forms.split("\n") for lang, forms in ORDINARY.items()}, NOISE.split("\n")
+    personal = {lang: [f.replace(r"\n", "\n") for f in forms] for lang, forms in personal.items()}
+    noise = [f.replace(r"\n", "\n") for f in noise]
     out = []
     for _ in range(size):
-        writer = Writer(rng)
-        lang = rng.choices(list(PERSONAL), (6, 3, 2, 2, 2, 2))[0]
-        gap = rng.choices([" ", "\n", "\n\n", " ", "  "], (84, 6, 3, 4, 3))[0]
-        text, spans = rng.choices(["", "  ", "﻿", "<p>", "\t"], (90, 3, 2, 3, 2))[0], []
+        lang = rng.choices(LANGUAGES, (6, 4, 3, 3, 3, 3))[0]
+        gap = rng.choices([" ", "\n", "\n\n", " ", "  ", " "], (80, 8, 3, 4, 3, 2))[0]
+        text, spans = rng.choices(["", "  ", "﻿", "<p>", "\t", "- ", "> "], (88, 3, 2, 3, 2, 1, 1))[0], []
         for n in range(rng.randint(1, 4)):
-            here = lang if rng.random() < 0.93 else rng.choice(list(PERSONAL))
-            personal = rng.random() < 0.6
-            parts = writer.sentence(rng.choice((PERSONAL if personal else ORDINARY)[here].split("|")), here)
-            loud = not personal and rng.random() < 0.04
+            writer = Writer(rng, lang if rng.random() < 0.94 else rng.choice(LANGUAGES))
+            form = rng.random()
+            if form < 0.3:
+                parts = writer.frame(rng.choice(personal[writer.lang]))
+            elif form < 0.42 and held_out is None:
+                parts = writer.listed()
+            elif form < 0.66 and held_out is None:
+                parts = writer.frame(writer.joined())
+            elif form < 0.93:
+                parts = writer.frame(rng.choice(ordinary[writer.lang]))
+            else:
+                parts = writer.frame(rng.choice(noise))
+            loud = all(k is None for _, k in parts) and rng.random() < 0.05
             text += gap if n else ""
             for value, kind in parts:
                 value = value.upper() if loud else value
                 if kind:
                     spans.append((len(text), len(text) + len(value), kind))
                 text += value
-        if rng.random() < 0.06:  # cut short; a value that the cut goes through is none
+            if text.endswith("..") and parts[-1][0].endswith(".") and len(parts) > 1 and parts[-2][1]:
+                text = text[:-1]
+        if rng.random() < 0.05 and len(text) > 8:  # cut short; a value that the cut goes through is none
             cut = rng.randrange(len(text) // 2, len(text))
             text, spans = text[:cut], [s for s in spans if s[1] <= cut]
         if text and rng.random() < 0.05:
-            text += rng.choice([" 🚚", "</p>", " <|endoftext|>", "\r\n", "   ", f" https://tannery.test/{writer.pick(TAGS)}?id={rng.randrange(9999)}&v=3#top"])
-        if rng.random() < 0.18:
-            parts = writer.sentence(rng.choice(JUNK.split("|")), "en")
-            text += rng.choice([" ", "\n"]) + "".join(v for v, _ in parts)
-        if rng.random() < 0.06:  # what text looks like after decoding with the wrong table; values that change are none
-            moved = []
-            for begin, end, kind in spans:
-                if text[begin:end].isascii():
-                    moved.append((text[:begin], text[begin:end], kind))
-            spans = [(len(miscode(a)), len(miscode(a)) + len(v), k) for a, v, k in moved]
-            text = miscode(text)
+            text += rng.choice([" 🙂", "</p>", " <|end|>", "\r\n", "   ", " https://" + writer.word() + ".test/?id=77", " …"])
+        if rng.random() < 0.05:  # values that change are none
+            kept = [(text[:b], text[b:e], k) for b, e, k in spans if text[b:e].isascii()]
+            text, spans = miscode(text), [(len(miscode(a)), len(miscode(a)) + len(v), k) for a, v, k in kept]
         out.append((text, spans))
     return out
-
-
-def miscode(text: str) -> str:
-    return text.encode().decode("latin-1")
