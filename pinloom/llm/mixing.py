@@ -1,42 +1,46 @@
 """Mixing sources so that each has its target share of all tokens.
 
-A classifier, fitted on a bounded sample of the rows that name their source, gives every document soft memberships in
+A classifier, fitted on a bounded sample of the rows that name their source, gives every document its posteriors over
 the domains (the named sources). Each document then gets a rate, how often it is to be used, between 0 and the most
-repeats its source allows and needs. The rates solve a least-squares problem by projected gradient: the tokens of each source,
-and with a smaller weight the expected tokens of each domain under the memberships, are to be the target share of the
-total. Documents with equal source and equal memberships (rounded to a grid) always have equal rates, so the sums that
-the gradient needs are taken once, distributed, and the iterations run on a table whose size depends on the grid only.
+repeats its source allows and needs. Rates solve a least-squares problem by projected gradient: the expected tokens of
+each domain under the posteriors are to be the target share of the total, where the tokens of each source are that
+share already. A round is one distributed sum over the documents; what comes back are a few numbers for each source.
+A document's rate follows from its own row and the steps of all rounds, so no table of rates is kept or collected.
 Rates are turned into whole copies so that every source ends within half a document of its share.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pinloom.llm.tokens import FOLDER, VOCABULARY, encoder
-from pinloom.operators.balance import running_total
 from pinloom.partitions import spread
 from pinloom.storage import durable
 
 BUCKETS = 4096
 SAMPLE = 2000
-GRID = 4
+SLICES = 4096
 
 
 def fit_classifier(documents: DataFrame, domains: list[str], sample: int = SAMPLE, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> np.ndarray:
     """Log probabilities (domains, BUCKETS) of token classes, with the log prior's share in the last column.
 
-    Multinomial naive Bayes on at most `sample` labelled documents of each domain, chosen by hash; counts are summed
-    in the workers, domains * BUCKETS numbers come back.
+    Multinomial naive Bayes on at most `sample` labelled documents of each domain, those of the smallest hashes; counts
+    are summed in the workers, domains * BUCKETS numbers come back. Rows are ranked only after a bound on the hash has
+    left about two samples of each domain, so no large source is shuffled or sorted.
     """
-    rank = F.row_number().over(W.partitionBy("source").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = documents.where(F.col("source").isin(domains) & F.col("text").isNotNull()).select("doc_id", "source", "text").withColumn("r", rank).where(F.col("r") <= sample)
+    labelled = documents.where(F.col("source").isin(domains) & F.col("text").isNotNull()).select("doc_id", "source", "text")
+    bound = labelled.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", (F.lit(2.0 * sample) / F.col("n")).alias("bound"))  # a row for each domain
+    few = labelled.withColumn("h", uniform("doc_id")).join(F.broadcast(bound), "source").where(F.col("h") < F.col("bound"))
+    rank = F.row_number().over(W.partitionBy("source").orderBy("h", "doc_id"))
+    chosen = few.withColumn("r", rank).where(F.col("r") <= sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(domains), BUCKETS), np.int64)
@@ -53,54 +57,90 @@ def fit_classifier(documents: DataFrame, domains: list[str], sample: int = SAMPL
     return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
-def memberships(ids: list[int], log_probabilities: np.ndarray) -> np.ndarray:
-    """Domain posteriors of a document in steps of 1 / GRID that sum to 1; evidence is averaged over tokens and
-    tempered, since tokens of one text are far from independent. Without tokens all domains are equally likely."""
+def uniform(key: str) -> Column:
+    """A number in [0, 1) from a hash."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 52)).cast("double") / float(1 << 52)
+
+
+def posteriors(ids: list[int], log_probabilities: np.ndarray) -> np.ndarray:
+    """Domain posteriors of a document; evidence is averaged over tokens and tempered, since tokens of one text are far
+    from independent. Without tokens all domains are equally likely."""
     n = len(log_probabilities)
-    if ids:
-        score = log_probabilities[:, np.asarray(ids, np.int64) % BUCKETS].mean(axis=1) * min(len(ids), 32)
-        p = np.exp(score - score.max())
-        p /= p.sum()
-    else:
-        p = np.full(n, 1 / n)
-    steps = np.floor(p * GRID).astype(np.int64)
-    order = np.argsort(-(p * GRID - steps), kind="stable")
-    steps[order[: GRID - int(steps.sum())]] += 1
+    if not ids:
+        return np.full(n, 1 / n)
+    score = log_probabilities[:, np.asarray(ids, np.int64) % BUCKETS].mean(axis=1) * min(len(ids), 32)
+    p = np.exp(score - score.max())
+    return p / p.sum()
+
+
+@dataclass
+class Sums:
+    """Of all documents under some rates, by source: their tokens times the rates, and the tokens of those whose rate
+    may still move; by domain: expected tokens times the rates."""
+
+    tokens: np.ndarray
+    free: np.ndarray
+    expected: np.ndarray
+
+
+Step = tuple[np.ndarray, np.ndarray]
+
+
+def rates_after(steps: list[Step], start: np.ndarray, cap: np.ndarray, source: np.ndarray, domain: np.ndarray) -> np.ndarray:
+    """The rates of documents after the steps (by source, by domain), each followed by the projection on 0 to cap."""
+    x, most = start[source], cap[source]
+    for by_source, by_domain in steps:
+        x = np.clip(x - by_source[source] - domain @ by_domain, 0, most)
+    return x
+
+
+def solve_rates(sums: Callable[[list[Step]], Sums], available: np.ndarray, wanted: np.ndarray, rounds: int = 10, settle: int = 10, close: float = 1e-4) -> list[Step]:
+    """The steps of the projected gradient, found by one call of `sums` a round.
+
+    A gradient step is (expected - wanted) over the tokens that the domain has in all, which bounds the curvature, so
+    the squares of the domains' errors never rise by it. The shift that brings a source back to its wanted tokens is a
+    Newton step for its part of the projection. The last `settle` rounds only do that, until every source is `close`.
+    """
+    steps: list[Step] = []
+    none = np.zeros(len(wanted))
+    for r in range(rounds + settle):
+        now = sums(steps)
+        off = now.tokens - wanted
+        if r >= rounds and np.all(np.abs(off) <= close * np.maximum(wanted, 1)):
+            break
+        shift = np.where(now.free > 0, off / np.maximum(now.free, 1e-9), 0.0)
+        steps.append((shift, (now.expected - wanted) / np.maximum(available, 1e-9) if r < rounds else none))
     return steps
 
 
-def solve_rates(tokens: np.ndarray, source: np.ndarray, domain: np.ndarray, cap: np.ndarray, targets: np.ndarray, soft: float = 0.3, rounds: int = 3000) -> np.ndarray:
-    """Rates of the groups by accelerated projected gradient.
+def fill(rows: DataFrame) -> DataFrame:
+    """`rows(s, key, doc_id, grow, room)` with `more`: whether the row is among those that, in the order of (key,
+    doc_id) within s, fill `room` up with their `grow` to the nearest row. Keys are in [0, 1); room is the same within s.
 
-    tokens, source, domain (groups x domains memberships) and cap (most repeats) by group; targets: wanted tokens of
-    each source. Minimises the squares of (tokens of each source - target) and, times soft^2, of (expected tokens of
-    each domain - target), relative to the total, over rates between 0 and cap. At the end each source's rates are
-    scaled, within the cap, so that its tokens are its target wherever the cap allows that.
+    Only the place of the cut is looked for: sums over slices of the key name the slice it lies in, sums over slices of
+    that one a finer one, and only the rows of the finer slice, one in 16 million, are ranked.
     """
-    total = max(1.0, targets.sum())
-    rows = np.concatenate((np.eye(len(targets))[source], soft * domain), axis=1) * tokens[:, None] / total
-    want = np.concatenate((targets, soft * targets)) / total
-    scale = 1 / np.maximum(tokens / total, 1e-12)  # equal steps in relative size
-    have = np.bincount(source, weights=tokens, minlength=len(targets))
-    rates = np.minimum(cap, (targets / np.maximum(have, 1))[source])
-    weighted = rows * np.sqrt(scale)[:, None]
-    step = 1 / max(1e-12, np.linalg.norm(weighted.T @ weighted, 2))
-    look, momentum = rates.copy(), 1.0
-    for _ in range(rounds):
-        new = np.clip(look - step * scale * (rows @ (rows.T @ look - want)), 0, cap)
-        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        look, rates, momentum = new + (momentum - 1) / following * (new - rates), new, following
-    for s in range(len(targets)):
-        of = source == s
-        low, high = 0.0, 1.0
-        filled = lambda c: float((np.minimum(cap[of], np.maximum(rates[of], 1e-9) * c) * tokens[of]).sum())  # noqa: B023, E731
-        while filled(high) < targets[s] and high < 1e12:
-            high *= 2
-        for _ in range(80):
-            mid = (low + high) / 2
-            low, high = (mid, high) if filled(mid) < targets[s] else (low, mid)
-        rates[of] = np.minimum(cap[of], np.maximum(rates[of], 1e-9) * high)
-    return rates
+    wide = rows.withColumn("_a", F.floor(F.col("key") * SLICES)).withColumn("_b", F.floor((F.col("key") * SLICES - F.col("_a")) * SLICES))
+    first = wide.join(F.broadcast(_cut(wide, "_a", F.lit(0)).select("s", F.col("_cut").alias("_cut_a"), F.col("_before").alias("_before_a"))), "s", "left")
+    inside = first.where(F.col("_a") == F.col("_cut_a"))
+    second = _cut(inside, "_b", F.col("_before_a")).select("s", F.col("_cut").alias("_cut_b"), F.col("_before").alias("_before_b"))
+    placed = first.join(F.broadcast(second), "s", "left")
+    last = (F.col("_a") == F.col("_cut_a")) & (F.col("_b") == F.col("_cut_b"))
+    filled = F.col("_before_b") + F.sum("grow").over(W.partitionBy("s").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    ranked = placed.where(last).withColumn("more", (F.col("grow") > 0) & (filled - F.col("grow") / 2 < F.col("room")))
+    before = F.col("_cut_a").isNull() | (F.col("_a") < F.col("_cut_a")) | ((F.col("_a") == F.col("_cut_a")) & (F.col("_cut_b").isNull() | (F.col("_b") < F.col("_cut_b"))))
+    others = placed.where(~F.coalesce(last, F.lit(False))).withColumn("more", (F.col("grow") > 0) & before)
+    return others.unionByName(ranked).drop("_a", "_b", "_cut_a", "_before_a", "_cut_b", "_before_b")
+
+
+def _cut(rows: DataFrame, slice_of: str, begin: Column) -> DataFrame:
+    """(s, _cut, _before): the slice in which the running sum of `grow` reaches `room`, and the sum before it; no row
+    for an s whose rows don't fill it. At most SLICES sums for each s."""
+    sums = rows.groupBy("s", slice_of).agg(F.sum("grow").alias("g"), F.min("room").alias("room"), F.min(begin).alias("begin"))
+    running = F.sum("g").over(W.partitionBy("s").orderBy(slice_of)) + F.col("begin")
+    reached = sums.withColumn("c", running).where(F.col("c") >= F.col("room"))
+    first = reached.groupBy("s").agg(F.min(F.struct(slice_of, (F.col("c") - F.col("g")).alias("before"))).alias("m"))
+    return first.select("s", F.col(f"m.{slice_of}").alias("_cut"), F.col("m.before").alias("_before"))
 
 
 def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, sample: int = SAMPLE, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -121,19 +161,43 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     named = documents.where(F.col("source").isin(domains) & F.col("doc_id").isNotNull()).select("doc_id", "source", "text")
     model = fit_classifier(named, domains, sample, folder, vocabulary) if domains else np.zeros((0, BUCKETS))
 
+    k = len(domains)
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(folder, vocabulary).encode
+        encode, number = encoder(folder, vocabulary).encode, {d: i for i, d in enumerate(domains)}
         for batch in batches:
             ids = [encode(t) for t in batch.column("text").to_pylist()]
-            keys = [",".join(map(str, memberships(i, model))) for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([len(i) for i in ids], pa.int64()), pa.array(keys, pa.string())], names=["doc_id", "source", "n_tokens", "domain"])
+            source = pa.array([number[s] for s in batch.column("source").to_pylist()], pa.int32())
+            domain = pa.array([posteriors(i, model).astype(np.float32) for i in ids], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), source, pa.array([len(i) for i in ids], pa.int64()), domain], names=["doc_id", "s", "n_tokens", "domain"])
+
+    key_type = documents.schema["doc_id"].dataType.simpleString()
+    sized = durable(spread(named).mapInArrow(measure, f"doc_id {key_type}, s int, n_tokens bigint, domain array<float>").where("n_tokens > 0"))
+
+    def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = batch.column("domain").flatten().to_numpy(zero_copy_only=False)
+        return batch.column("s").to_numpy(zero_copy_only=False), batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(float), flat.reshape(-1, k)
+
+    def summed(steps: list[Step], start: np.ndarray, cap: np.ndarray) -> Sums:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tokens, free, expected = np.zeros(k), np.zeros(k), np.zeros(k)
+            for batch in batches:
+                source, size, domain = arrays(batch)
+                x = rates_after(steps, start, cap, source, domain)
+                tokens += np.bincount(source, size * x, k)
+                free += np.bincount(source, size * ((x > 0) & (x < cap[source])), k)
+                expected += (size * x) @ domain
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), *map(pa.array, (tokens, free, expected))], names=["s", "tokens", "free", "expected"])
+
+        out = Sums(np.zeros(k), np.zeros(k), np.zeros(k))
+        total = [F.sum(c).alias(c) for c in ("tokens", "free", "expected")]
+        for row in sized.select("s", "n_tokens", "domain").mapInArrow(run, "s bigint, tokens double, free double, expected double").groupBy("s").agg(*total).collect():
+            out.tokens[row["s"]], out.free[row["s"]], out.expected[row["s"]] = row["tokens"], row["free"], row["expected"]
+        return out
 
-    sized = durable(spread(named).mapInArrow(measure, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, source string, n_tokens bigint, domain string").where("n_tokens > 0"))
-    groups = sized.groupBy("source", "domain").agg(F.sum("n_tokens").alias("tokens")).collect()  # a few sources times the grid's points
     share, cap = np.array([r[1] for r in rows]), np.array([max(0, r[2]) for r in rows], float)
-    source = np.array([domains.index(g["source"]) for g in groups], np.int64)
-    tokens = np.array([g["tokens"] for g in groups], float)
-    have = np.bincount(source, weights=tokens, minlength=len(domains)) if groups else np.zeros(len(domains))
+    all_once = summed([], np.ones(k), np.full(k, 2.0)) if k else Sums(*np.zeros((3, 0)))
+    have = np.round(all_once.tokens)
     active = (have > 0) & (cap > 0)
     part = np.where(active, share, 0)
     part = part / part.sum() if part.sum() else part
@@ -141,27 +205,23 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     wanted = np.floor(np.minimum(part * total, cap * have) + 1e-6)
     # nothing is repeated that need not be: a source with enough tokens uses no document twice
     cap = np.minimum(cap, np.maximum(1, np.ceil(wanted / np.maximum(have, 1) - 1e-9)))
+    start = np.minimum(cap, wanted / np.maximum(have, 1))
+    steps = solve_rates(lambda made: summed(made, start, cap), all_once.expected, wanted) if have.any() else []
     spark = documents.sparkSession
-    grid = np.array([[int(x) for x in g["domain"].split(",")] for g in groups]).reshape(len(groups), len(domains)) / GRID
-    rates = solve_rates(tokens, source, grid, cap[source], wanted) if groups else np.zeros(0)
-    table = spark.createDataFrame([(g["source"], g["domain"], float(r)) for g, r in zip(groups, rates)], "source string, domain string, rate double")
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            source, _, domain = arrays(batch)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "s", "n_tokens")), pa.array(rates_after(steps, start, cap, source, domain))], names=["doc_id", "s", "n_tokens", "rate"])
+
     # whole copies below the rate for all, one more for as many as fill the source's tokens up
-    rated = sized.join(F.broadcast(table), ["source", "domain"]).withColumn("base", F.floor(F.col("rate") + 1e-9))
-    limits = spark.createDataFrame([(d, int(c), int(w)) for d, c, w in zip(domains, cap, wanted)], "source string, most int, wanted bigint")
-    used = rated.groupBy("source").agg(F.sum(F.col("base") * F.col("n_tokens")).alias("used"))
-    room = F.broadcast(limits.join(F.broadcast(used), "source").select("source", "most", (F.col("wanted") - F.col("used")).alias("room")))
-    fraction = F.greatest(F.col("rate") - F.col("base"), F.lit(1e-6))
-    uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
-    key = F.least(uniform / fraction, F.lit(1e6))
-    ranked = rated.join(room, "source").withColumn("key", key).withColumn("grow", F.when(F.col("base") < F.col("most"), F.col("n_tokens")).otherwise(0))
-    # running token totals of each source in the order of the key, in slices of it
-    number = F.element_at(F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.lit(i))]), F.col("source")) if domains else F.lit(0)
-    slice_of = number * 4096 + F.least(F.floor(F.col("key") * 1024), F.lit(4095))
-    total_in = running_total(ranked, "grow", slice_of.cast("bigint"), "key", "doc_id", name="filled")
-    before = ranked.groupBy("source").agg(F.sum("grow").alias("s"))
-    order = [(d, i) for i, d in enumerate(domains)]
-    offset = before.join(F.broadcast(spark.createDataFrame(order, "source string, i int")), "source").withColumn("offset", F.sum("s").over(W.orderBy("i")) - F.col("s")).select("source", "offset")
-    taken = total_in.join(F.broadcast(offset), "source").withColumn("copies", (F.col("base") + ((F.col("grow") > 0) & (F.col("filled") - F.col("offset") - F.col("grow") / 2 < F.col("room"))).cast("int")).cast("bigint"))
+    rated = durable(sized.mapInArrow(rate, f"doc_id {key_type}, s int, n_tokens bigint, rate double").withColumn("base", F.floor(F.col("rate") + 1e-9)))
+    limits = spark.createDataFrame([(i, d, int(c), int(w)) for i, (d, c, w) in enumerate(zip(domains, cap, wanted))], "s int, source string, most int, wanted bigint")
+    used = rated.groupBy("s").agg(F.sum(F.col("base") * F.col("n_tokens")).alias("used"))
+    room = limits.join(F.broadcast(used), "s").select("s", "source", "most", (F.col("wanted") - F.col("used")).alias("room"))
+    key = uniform("doc_id") / F.greatest(F.col("rate") - F.col("base"), F.lit(1e-6))
+    growing = rated.join(F.broadcast(room), "s").withColumn("key", key / (1 + key)).withColumn("grow", F.when(F.col("base") < F.col("most"), F.col("n_tokens")).otherwise(0))
+    taken = fill(growing).withColumn("copies", (F.col("base") + F.col("more").cast("int")).cast("bigint"))
     mixture = durable(taken.where("copies > 0").select("doc_id", "source", "n_tokens", "copies"))
     reached = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("reached_tokens"))
     goal = spark.createDataFrame([(d, float(s), int(r[2]), int(h), int(w)) for d, s, r, h, w in zip(domains, share, rows, have, wanted)], "source string, target_share double, max_repeats int, available_tokens bigint, wanted_tokens bigint")

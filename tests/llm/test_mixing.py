@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from pinloom.llm.mixing import GRID, memberships, mix_sources, solve_rates
+from pinloom.llm.mixing import Sums, fill, mix_sources, posteriors, rates_after, solve_rates
 from pinloom.llm.tokens import FOLDER, VOCABULARY, encoder
 
 pytestmark = pytest.mark.skipif(not os.path.exists(f"{FOLDER}/{VOCABULARY}"), reason="no vocabulary")
@@ -59,16 +59,55 @@ def test_empty_sources(spark):
     assert mixture.count() == shares.count() == 0
 
 
+def solved(tokens, source, domain, cap, targets):
+    """The rates from sums over arrays in place of a table."""
+    have = np.bincount(source, tokens, len(targets))
+    start = np.minimum(cap, targets / have)
+
+    def sums(steps):
+        x = rates_after(steps, start, cap, source, domain)
+        free = (x > 0) & (x < cap[source])
+        return Sums(np.bincount(source, tokens * x, len(targets)), np.bincount(source, tokens * free, len(targets)), (tokens * x) @ domain)
+
+    return rates_after(solve_rates(sums, tokens @ domain, targets), start, cap, source, domain)
+
+
 def test_rates_meet_sources_and_lean_to_domains():
     tokens, source = np.array([100.0, 100, 100, 100]), np.array([0, 0, 1, 1])
     domain = np.array([[1, 0], [0, 1], [0, 1], [0.5, 0.5]])
-    rates = solve_rates(tokens, source, domain, np.full(4, 2.0), np.array([120.0, 80.0]))
-    assert np.allclose([(rates * tokens)[source == s].sum() for s in (0, 1)], [120, 80], atol=1e-6)
+    rates = solved(tokens, source, domain, np.full(2, 2.0), np.array([120.0, 80.0]))
+    assert np.allclose([(rates * tokens)[source == s].sum() for s in (0, 1)], [120, 80], atol=0.1)
     assert rates.min() >= 0 and rates.max() <= 2 and rates[0] > rates[1]
 
 
-def test_memberships():
+def test_the_gradient_brings_domains_nearer_to_their_targets():
+    rng = np.random.default_rng(3)
+    n, k = 3000, 4
+    source, tokens = rng.choice(k, n, p=[0.7, 0.2, 0.07, 0.03]), rng.integers(1, 60, n).astype(float)
+    domain = rng.dirichlet(np.full(k, 0.3), n) * 0.5 + 0.5 * np.eye(k)[(source + (rng.random(n) < 0.3)) % k]
+    targets, cap = np.array([9000.0, 7000, 3000, 1500]), np.array([1.0, 1, 2, 3])
+    rates = solved(tokens, source, domain, cap, targets)
+    even = np.minimum(cap, targets / np.bincount(source, tokens, k))[source]
+    error = lambda x: np.square((tokens * x) @ domain - targets).sum()
+    assert np.allclose(np.bincount(source, tokens * rates, k), targets, rtol=1e-3) and error(rates) < 0.5 * error(even)
+    assert (rates >= 0).all() and (rates <= cap[source]).all()
+
+
+def test_filling_is_a_prefix_of_the_order(spark):
+    rng = random.Random(8)
+    room = {0: 500, 1: 0, 2: 10**9, 3: 77}
+    rows = [(s, rng.choice([rng.random(), 0.5, 0.5000001]), i, rng.randint(0, 9), room[s]) for i in range(800) for s in (rng.randrange(4),)]
+    got = {r.doc_id for r in fill(spark.createDataFrame(rows, "s int, key double, doc_id int, grow bigint, room bigint")).where("more").collect()}
+    want, filled = set(), dict.fromkeys(room, 0)
+    for s, _, i, grow, _ in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        filled[s] += grow
+        if grow and filled[s] - grow / 2 < room[s]:
+            want.add(i)
+    assert got == want
+
+
+def test_posteriors():
     model = np.log(np.array([[0.9, 0.1], [0.1, 0.9]]))
     model = np.repeat(model, 2048, axis=1)
-    assert memberships([1, 2, 3], model).sum() == GRID and memberships([1, 2, 3], model)[0] == GRID
-    assert list(memberships([], model)) == [2, 2]
+    assert np.isclose(posteriors([1, 2, 3], model).sum(), 1) and posteriors([1, 2, 3], model)[0] > 0.99
+    assert list(posteriors([], model)) == [0.5, 0.5]
