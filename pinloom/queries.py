@@ -26,7 +26,7 @@ K = 8
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-BASE = """WITH dp AS (SELECT DISTINCT net_id, vertex_id FROM pins WHERE net_id IS NOT NULL AND vertex_id IS NOT NULL),
+BASE = """WITH RECURSIVE dp AS (SELECT DISTINCT net_id, vertex_id FROM pins WHERE net_id IS NOT NULL AND vertex_id IS NOT NULL),
 v AS (SELECT vertex_id, coalesce(weight, 1) AS weight, coalesce(part, vertex_id % 8) AS part FROM vertices),
 s AS (SELECT vertex_id, weight, part % 2 AS part FROM v),
 n AS (SELECT net_id, coalesce(cost, 1) AS cost FROM nets),
@@ -38,7 +38,7 @@ g AS (SELECT vertex_id, part, CAST(coalesce(gain, 0) AS BIGINT) AS gain FROM s L
     - CASE WHEN (CASE part WHEN 0 THEN c1 ELSE c0 END) = 0 THEN cost ELSE 0 END) AS gain
   FROM dp JOIN s USING (vertex_id) JOIN c USING (net_id) JOIN n USING (net_id) WHERE c0 + c1 > 1 GROUP BY vertex_id) USING (vertex_id)),
 smp AS (SELECT vertex_id FROM s ORDER BY (vertex_id % 1000003 * 7919 + 104729) % 1000003, vertex_id LIMIT 200),
-mp AS (SELECT dp.net_id, vertex_id, cost / (size - 1) AS scaled FROM dp JOIN sz USING (net_id) JOIN n USING (net_id) WHERE size BETWEEN 2 AND 64),
+mp AS (SELECT dp.net_id, vertex_id, cost / (size - 1) AS scaled FROM dp JOIN sz USING (net_id) JOIN n USING (net_id) WHERE size >= 2),
 deg AS (SELECT vertex_id, count(*) AS degree FROM dp GROUP BY vertex_id),
 ip AS (SELECT a.vertex_id, b.vertex_id AS sample_id, round(sum(a.scaled) / least(min(d1.degree), min(d2.degree)), 9) AS product
   FROM mp a JOIN mp b USING (net_id) JOIN deg d1 ON d1.vertex_id = a.vertex_id JOIN deg d2 ON d2.vertex_id = b.vertex_id
@@ -364,9 +364,13 @@ def _(s, d):
     return moves.clean_moves(table(s, d, "moves"))
 
 
-REJECT = """, t AS (SELECT sum(dw) AS x FROM mv), o AS (SELECT 20000 + x - 20010 AS o0, 20000 - x - 20010 AS o1 FROM t),
-f AS (SELECT mv.*, CASE WHEN o0 > 0 THEN greatest(dw, 0) WHEN o1 > 0 THEN greatest(-dw, 0) ELSE 0 END AS fills, greatest(o0, o1, 0) AS over FROM mv, o),
-rj AS (SELECT *, fills > 0 AND sum(fills) OVER (ORDER BY gain, tag DESC, shard ROWS UNBOUNDED PRECEDING) - fills < over AS rejected FROM f) """
+REJECT = """, t AS (SELECT CAST(sum(dw) AS BIGINT) AS x FROM mv), o AS (SELECT 20000 + x - 20010 AS o0, 20000 - x - 20010 AS o1 FROM t),
+f AS (SELECT shard, tag, gain, dw, abs(dw) AS fills, row_number() OVER (ORDER BY gain, tag DESC, shard) AS i FROM mv, o WHERE CASE WHEN o0 > 0 THEN dw > 0 WHEN o1 > 0 THEN dw < 0 ELSE false END),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, greatest(o0, o1, 0) AS need, CAST(-least(o0, o1) AS BIGINT) AS room, CAST([] AS INT[]) AS stopped, false AS rejected FROM o
+  UNION ALL SELECT f.i, CASE WHEN r THEN need - fills ELSE need END, CASE WHEN r THEN room - fills ELSE room END,
+    CASE WHEN need > 0 AND NOT r AND NOT list_contains(stopped, shard) THEN list_append(stopped, shard) ELSE stopped END, r
+  FROM walk JOIN f ON f.i = walk.i + 1, LATERAL (SELECT need > 0 AND fills <= room AND NOT list_contains(stopped, shard) AS r)),
+rj AS (SELECT mv.*, coalesce(walk.rejected, false) AS rejected FROM mv LEFT JOIN f USING (shard, tag) LEFT JOIN walk ON walk.i = f.i) """
 
 
 @query("reject_moves", REJECT + "SELECT shard, tag, vertex_id, gain, dw, rejected FROM rj")
@@ -407,7 +411,7 @@ def _(s, d):
     return sampling.label_histogram(labelprop.initial_labels(graph(s, d).vertices, 700), 700)
 
 
-@query("neighbours", "SELECT a.vertex_id, b.vertex_id AS other_id, count(*) AS nets, round(sum(a.scaled), 9) AS product FROM mp a JOIN mp b USING (net_id) WHERE a.vertex_id <> b.vertex_id GROUP BY 1, 2")
+@query("neighbours", "SELECT a.vertex_id, b.vertex_id AS other_id, count(*) AS nets, round(sum(a.scaled), 9) AS product FROM mp a JOIN mp b USING (net_id) JOIN sz USING (net_id) WHERE size <= 64 AND a.vertex_id <> b.vertex_id GROUP BY 1, 2")
 def _(s, d):
     h = graph(s, d)
     return coarsen.neighbours(h.pins, h.nets)
@@ -449,12 +453,14 @@ def _(s, d):
     return coarsen.project_labels(h.vertices, first_matches(s, d), sides_of(h))
 
 
-def _lineage_sql() -> str:
-    levels = "".join(f", a{i + 1} AS (SELECT a.vertex_id, coalesce(x.parent_id, a.top_id) AS top_id FROM a{i} a LEFT JOIN (SELECT child_id, max(parent_id) AS parent_id FROM vertex_matches WHERE level = {i} GROUP BY 1) x ON x.child_id = a.top_id)" for i in range(5))
-    return ", a0 AS (SELECT vertex_id, vertex_id AS top_id FROM v)" + levels + " SELECT vertex_id, top_id FROM a5"
+LINEAGE = """WITH RECURSIVE v AS (SELECT vertex_id FROM vertices WHERE vertex_id IS NOT NULL),
+m AS (SELECT level, child_id, max(parent_id) AS parent_id FROM vertex_matches GROUP BY ALL),
+a AS (SELECT vertex_id, vertex_id AS top_id, (SELECT min(level) FROM m) AS level FROM v
+  UNION ALL SELECT a.vertex_id, coalesce(m.parent_id, a.top_id), a.level + 1 FROM a LEFT JOIN m ON m.level = a.level AND m.child_id = a.top_id WHERE a.level <= (SELECT max(level) FROM m))
+SELECT vertex_id, top_id FROM a WHERE level > (SELECT max(level) FROM m)"""
 
 
-@query("lineage", _lineage_sql())
+@query("lineage", LINEAGE, base=False)
 def _(s, d):
     return coarsen.lineage(graph(s, d).vertices, table(s, d, "vertex_matches"))
 
@@ -533,13 +539,13 @@ def _(s, d):
     h = graph(s, d)
     pins = simplify.drop_small_nets(h.pins, 1)
     sub = Hypergraph(h.vertices.join(pins.select("vertex_id"), "vertex_id", "left_semi"), h.nets, pins)
-    return best_restart(solve_restarts(sub, _half(h), Options(restarts=4, klfm_max_passes=4, lp_max_iter=5)))
+    return best_restart(solve_restarts(sub, _half(h), Options()))
 
 
 @query("refine_rounds")
 def _(s, d):
     h = graph(s, d)
-    return refine.refine_rounds(h, sides_of(h).select("vertex_id", "part"), _half(h, 0.1), Options())[0]
+    return refine.refine_rounds(h, sides_of(h).select("vertex_id", "part"), _half(h), Options())[0]
 
 
 @query("bisect_multilevel")
@@ -549,7 +555,7 @@ def _(s, d):
 
 
 def _parts(s, d, k, metric):
-    return recursive.partition(graph(s, d), Options(k=k, eps=0.1, metric=metric, restarts=4, klfm_max_passes=4, lp_max_iter=5))
+    return recursive.partition(graph(s, d), Options(k=k, metric=metric))
 
 
 @query("recursive_bisect_k4")
