@@ -15,7 +15,7 @@ pair's recall is at least that of its record with fewer trees. Records for which
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import lru_cache
 
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pinloom.functions.columns import mixed
-from pinloom.operators.skew import heavy_keys
+from pinloom.operators.skew import skew_join
 from pinloom.storage import durable
 
 U = np.uint64
+SLICE = 1024
 
 
 @lru_cache(maxsize=1 << 16)
@@ -105,7 +106,7 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def similar_classes(
-    pairs: DataFrame, threshold: float, least: int = 1, miss: float = 1e-4, frequent: int = 256, most_trees: int = 64, large: int = 10_000, share: float = 0.001,
+    pairs: DataFrame, threshold: float, least: int = 1, miss: float = 1e-4, frequent: int = 256, most_trees: int = 64, large: int = 10_000,
 ) -> tuple[DataFrame, DataFrame]:
     """Classes (id, class_id, n) and similar classes (class_a, class_b, shared, similarity), class_a < class_b.
 
@@ -114,22 +115,18 @@ def similar_classes(
     equal 64-bit hashes), named by its smallest id. Two classes are similar if shared / union >= threshold, counted
     exactly; each such pair is found with a probability of at least 1 - miss. No rows give no classes.
 
-    Records with a `share` of all rows and more than `large` values are never gathered: there are few of them, so few
-    partners are large enough for them, and these pairs are counted by joins.
+    Records of more than `large` values, a number that does not grow with the data, are never gathered: their pairs are
+    counted by joins. Partners of such a record have at least `threshold` times as many values.
     """
     ratio = Fraction(threshold).limit_denominator(1000)
     distinct = pairs.where("id is not null and value is not null").select("id", "value").distinct()
-    spark = pairs.sparkSession
-    # large records: as many rows as heavy keys at most, counted exactly
-    candidates = heavy_keys(distinct, "id", max(share * float(ratio), 4 / 4096), 4096).select("id")
-    floor = F.greatest(F.lit(large), F.col("rows") * share)
-    degree = distinct.join(F.broadcast(candidates), "id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    counted = degree.join(F.broadcast(distinct.agg(F.count(F.lit(1)).alias("rows")))).where((F.col("n") >= floor * float(ratio)) & (F.col("n") >= least))
-    big_rows = [tuple(r) for r in counted.select("id", "n", F.col("n") >= floor).collect()]
-    big = spark.createDataFrame(big_rows, "id bigint, n bigint, huge boolean")
-    huge = spark.createDataFrame([r[:1] for r in big_rows if r[2]], "id bigint")
-
-    marked = distinct.join(F.broadcast(huge), "id", "left_anti").join(_frequent_values(distinct, frequent), "value", "left")
+    degree = distinct.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    big = durable(degree.where((F.col("n") > large * float(ratio)) & (F.col("n") >= least)).select("id", "n", (F.col("n") > large).alias("huge")))
+    few = small_enough(big)
+    any_huge = not big.where("huge").isEmpty()
+    huge = few(big.where("huge").select("id"))
+
+    marked = distinct.join(huge, "id", "left_anti").join(_frequent_values(distinct, frequent), "value", "left")
     rare, often = F.when(F.col("often").isNull(), F.col("value")), F.when(F.col("often"), F.col("value"))
     sets = durable(marked.groupBy("id").agg(
         F.collect_list(rare).alias("rare"), F.collect_list(often).alias("common"), F.count(F.lit(1)).cast("int").alias("n"),
@@ -150,8 +147,8 @@ def similar_classes(
     both = found.distinct().join(values.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("values").alias("va")), "a").join(
         values.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("values").alias("vb")), "b")
     shared = both.select("a", "b", "na", "nb", F.size(F.array_intersect("va", "vb")).cast("bigint").alias("shared"))
-    if any(r[2] for r in big_rows):
-        shared = shared.unionByName(_among_large(distinct, big, ratio))
+    if any_huge:
+        shared = shared.unionByName(_among_large(distinct, big, few, ratio))
         classes = classes.unionByName(big.where("huge").select("id", F.col("id").alias("class_id"), F.col("n").cast("int")))
     return classes, _above(shared, ratio)
 
@@ -205,12 +202,21 @@ def _among_frequent(may_be: DataFrame, ratio: Fraction, least: int, miss: float,
     return prefix.join(other, "value").where(fits).select(F.col("id").alias("a"), "b")
 
 
-def _among_large(distinct: DataFrame, big: DataFrame, ratio: Fraction) -> DataFrame:
-    """(a, b, na, nb, shared) of pairs with a huge record: `big` has a bounded number of rows, so a value has few holders."""
-    held = distinct.join(F.broadcast(big), "id").groupBy("value").agg(F.collect_list(F.struct("id", "n", "huge")).alias("m")).where(F.size("m") > 1)
-    fits = f"(a.huge or b.huge) and least(a.n, b.n) * {ratio.denominator}L >= greatest(a.n, b.n) * {ratio.numerator}L"
-    pair = F.expr(f"flatten(transform(m, a -> transform(filter(m, b -> a.id < b.id and {fits}), b -> struct(a.id as a, b.id as b, a.n as na, b.n as nb))))")
-    return held.select(F.explode(pair).alias("p")).groupBy("p.a", "p.b", "p.na", "p.nb").agg(F.count(F.lit(1)).alias("shared"))
+def small_enough(rows: DataFrame, bound: int = 100_000) -> Callable[[DataFrame], DataFrame]:
+    """A hint for tables of the rows of `rows`: to broadcast them if they were counted to be at most `bound`, else none."""
+    return F.broadcast if rows.limit(bound + 1).count() <= bound else lambda df: df
+
+
+def _among_large(distinct: DataFrame, big: DataFrame, few: Callable[[DataFrame], DataFrame], ratio: Fraction) -> DataFrame:
+    """(a, b, na, nb, shared) of pairs with a huge record, from a join of the holders of a value. Records meet only those
+    of their own and the next class of size, classes being as wide as the threshold, so most that are too unlike in
+    size never do; adaptive execution splits values that many of them hold."""
+    step = math.log(1 / float(ratio)) if ratio < 1 else 1.0
+    held = distinct.join(few(big), "id").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step))
+    left = held.select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("huge").alias("ha"), F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"))
+    right = held.select("value", "class", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("huge").alias("hb"))
+    fits = (F.col("ha") | F.col("hb")) & (F.col("a") < F.col("b")) & (F.least("na", "nb") * ratio.denominator >= F.greatest("na", "nb") * ratio.numerator)
+    return left.join(right, ["value", "class"]).where(fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def _above(counted: DataFrame, ratio: Fraction) -> DataFrame:
@@ -226,9 +232,12 @@ def similar_pairs(pairs: DataFrame, threshold: float, least: int = 1, **options:
     left = classes.select(F.col("class_id").alias("class_a"), F.col("id").alias("x"))
     right = classes.select(F.col("class_id").alias("class_b"), F.col("id").alias("y"))
     across = similar.select("class_a", "class_b").join(left, "class_a").join(right, "class_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    several = classes.where("id <> class_id").select("class_id").distinct()
-    members = classes.join(several, "class_id", "left_semi")
-    within = members.select("class_id", F.col("id").alias("id_a")).join(members.select("class_id", F.col("id").alias("id_b")), "class_id").where("id_a < id_b")
+    # the members of a class, split into slices of about SLICE, meet slice by slice, so a large class is many tasks' work
+    sizes = classes.where("id <> class_id").groupBy("class_id").agg(F.ceil((F.count(F.lit(1)) + 1) / SLICE).cast("int").alias("slices"))
+    members = skew_join(classes.select("class_id", "id"), sizes, "class_id")
+    left = members.select("class_id", F.col("id").alias("id_a"), F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"))
+    right = members.select("class_id", F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    within = left.join(right, ["class_id", "slice"]).where("id_a < id_b")
     return across.unionByName(within.select("id_a", "id_b"))
 
 

@@ -35,7 +35,7 @@ def frame(spark, sets, extra=()):
 @pytest.mark.parametrize("threshold,least", [(0.7, 4), (0.5, 1)])
 def test_all_pairs_are_found(spark, threshold, least):
     sets = sets_of()
-    got = [tuple(r) for r in similar_pairs(frame(spark, sets), threshold, least, frequent=40, large=300, share=0.001, miss=1e-6).collect()]
+    got = [tuple(r) for r in similar_pairs(frame(spark, sets), threshold, least, frequent=40, large=300, miss=1e-6).collect()]
     want = brute(sets, threshold, least)
     assert len(got) == len(set(got)) and set(got) == want and (9000, 9001) in want
 
