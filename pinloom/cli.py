@@ -1,4 +1,4 @@
-"""Command line: partition, evaluate, generate, reject."""
+"""Command line: partition, generate."""
 
 from __future__ import annotations
 
