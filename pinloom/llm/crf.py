@@ -98,7 +98,7 @@ def fit(
 ) -> Model:
     """Chain weights by AdaGrad. `texts`: of each text the (tokens, columns) feature numbers below `size`.
 
-    Features seen fewer than `least` times are not learnt. In training, columns of `lexical` are hidden with the
+    The result is the mean over the last two epochs. Features seen fewer than `least` times are not learnt. In training, columns of `lexical` are hidden with the
     probability `dropped`, so that the others learn to do without them, as they must in texts of other wording.
     """
     fixed, begin = allowed(labels)
@@ -114,7 +114,8 @@ def fit(
     free = fixed == 0
     by_length = np.argsort([len(t) for t in texts], kind="stable")
     chunks = [by_length[i:i + batch] for i in range(0, len(texts), batch)]
-    for _ in range(epochs):
+    mean, mean_step, averaged = np.zeros_like(model.weights), np.zeros((k, k)), 0
+    for epoch in range(epochs):
         for c in rng.permutation(len(chunks)):
             chunk = chunks[c]
             features = np.concatenate([known[i] for i in chunk])
@@ -143,6 +144,12 @@ def fit(
             step *= free
             past_step += step * step
             model.transitions -= rate * step / np.sqrt(past_step)
+            if epoch >= epochs - 2:
+                mean += model.weights
+                mean_step += model.transitions
+                averaged += 1
+    if averaged:
+        model.weights, model.transitions = mean / averaged, mean_step / averaged
     return model
 
 

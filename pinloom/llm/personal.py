@@ -38,7 +38,7 @@ OTHER = rf"""(?P<mixed>(?<!\w)(?=[\w./-]{{0,40}}?\d)(?=[\w./-]{{0,40}}?[^\W\d_])
     |(?P<mark>\S)"""
 TOKEN = regex.compile(MAIL + OTHER, regex.VERBOSE | regex.IGNORECASE)
 # A text without an address takes a shorter way: words that nothing joins to what follows are tried first.
-PLAIN = re.compile(r"(?P<w>[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w/'’-]|\.\w))|" + OTHER.replace(" ", "").replace("\n", "").replace(GAP.replace(" ", ""), GAP), re.IGNORECASE)
+PLAIN = regex.compile(r"(?P<w>[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w/'’-]|\.\w))|" + OTHER.replace(" ", "").replace("\n", "").replace(GAP.replace(" ", ""), GAP), regex.IGNORECASE)
 ADDRESS = re.compile(rf"@|://|[\[({{]{GAP}?at{GAP}?[\])}}]|{GAP}at{GAP}[^\W_][\w-]*(?:\.|{GAP}?[\[({{]{GAP}?dot|{GAP}dot)", re.IGNORECASE)
 LOCAL_END, LOCAL_CUT = regex.compile(r"[@\s\[({]"), regex.compile(r"[._+\-\d]+")
 LAST_GROUP = regex.compile(rf"{GAP}(\d+)$")

@@ -557,7 +557,7 @@ class Writer:
         if form < 0.34:
             return f"{family} {given}"
         name = f"{given} {rng.choice('ABCDEFGHJKLMNPRSTW')}. {family}" if self.odds(0.1) else f"{given} {self.made('a|o|an')} {family}" if self.odds(0.05) else f"{given} {family}"
-        return name.lower() if self.odds(0.03) else name.upper() if self.odds(0.03) else name.replace(" ", "  ", 1) if self.odds(0.03) else name
+        return name.lower() if self.odds(0.015) else name.upper() if self.odds(0.03) else name.replace(" ", "  ", 1) if self.odds(0.03) else name
 
     def email(self) -> str:
         rng = self.rng
