@@ -23,7 +23,7 @@ def main(argv: list[str] | None = None) -> None:
     run.add_argument("file")
     run.add_argument("--config", help="TOML file; options given here override it")
     run.add_argument("--results", default="results")
-    for name, kind in (("k", int), ("eps", float), ("eta", float), ("seed", int), ("sample_size", int), ("max_cluster_size", int), ("lp_max_iter", int), ("coarsening_nrvertices", int), ("coarsening_max_rounds", int), ("klfm_max_passes", int), ("klfm_max_no_gain_moves", int), ("klfm_par_send_moves", int), ("weights", str), ("metric", str), ("bisect", str), ("sampling", str)):
+    for name, kind in (("k", int), ("eps", float), ("eta", float), ("seed", int), ("sample_size", int), ("max_cluster_size", int), ("lp_max_iter", int), ("coarsening_nrvertices", int), ("coarsening_max_rounds", int), ("klfm_max_passes", int), ("klfm_max_no_gain_moves", int), ("klfm_par_send_moves", int), ("restarts", int), ("kernel_max_pins", int), ("weights", str), ("metric", str), ("bisect", str), ("sampling", str)):
         run.add_argument(f"--{name.replace('_', '-')}", dest=name, type=kind)
     make = commands.add_parser("generate", help="write a random matrix")
     for name in ("nets", "vertices", "pins"):
