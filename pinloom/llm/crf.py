@@ -92,14 +92,56 @@ def best_path(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
     return out
 
 
+def _steps(forward: np.ndarray, ahead: np.ndarray, z: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """(labels, labels) how often each label is expected to follow each; `ahead`: scores and backward messages."""
+    k = len(transitions)
+    a, b = forward[:, :-1], ahead[:, 1:]
+    top_a, top_b = a.max(axis=2, keepdims=True), b.max(axis=2, keepdims=True)
+    inside = (np.arange(1, forward.shape[1]) < lengths[:, None])[:, :, None]
+    weight = np.exp(np.where(inside, np.minimum(top_a + top_b - z[:, None, None], 600.0), -np.inf))
+    return np.exp(transitions) * ((np.exp(a - top_a) * weight).reshape(-1, k).T @ np.exp(b - top_b).reshape(-1, k))
+
+
+def pack(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What was learnt: the rows that have weights and these, the transitions, the skip potential."""
+    rows = np.flatnonzero(model.weights.any(axis=1))
+    return rows, model.weights[rows], model.transitions, model.skip
+
+
+def mean_of(packed: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], labels: list[str], size: int) -> Model:
+    """The model of mean scores: what one fit made of a word by chance, the others outvote."""
+    n, weights = len(packed), np.zeros((size + 1, len(labels)), np.float32)
+    for rows, values, _, _ in packed:
+        weights[rows] += values / n
+    return Model(labels, weights, sum(p[2] for p in packed) / n, allowed(labels)[1], sum(p[3] for p in packed) / n)
+
+
+def _chunk(texts: list[np.ndarray], golds: list[np.ndarray], rare: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """What a step of the fit needs of some texts: their features; of each use of a feature its token, in the order of
+    features, with where each feature begins; and its feature, in the order of tokens, with where each token begins."""
+    features, truth = np.concatenate(texts), np.concatenate(golds)
+    lengths, nothing = np.array([len(t) for t in texts]), len(rare) - 1
+    features = np.where(rare[features], nothing, features)
+    told = features != nothing
+    told[:, 0] |= ~told.any(axis=1)  # no token goes without
+    touched, feature = np.unique(features[told], return_inverse=True)
+    feature, token = feature.ravel().astype(np.int32), np.nonzero(told)[0].astype(np.int32)
+    of_token = np.searchsorted(token, np.arange(len(features)))
+    order = np.argsort(feature, kind="stable")
+    of_feature = np.searchsorted(feature[order], np.arange(len(touched)))
+    met = np.zeros((k, k))
+    inside = np.repeat(np.arange(len(lengths)), lengths)
+    same = inside[1:] == inside[:-1]
+    np.add.at(met, (truth[:-1][same], truth[1:][same]), 1)
+    return touched, token[order], of_token, feature, of_feature, lengths, truth, met
+
+
 def fit(
     texts: list[np.ndarray], golds: list[np.ndarray], labels: list[str], size: int, epochs: int = 6, rate: float = 0.2, decay: float = 1e-6, least: int = 2, seed: int = 7, batch: int = 64,
-    lexical: list[int] | None = None, dropped: float = 0.0,
 ) -> Model:
     """Chain weights by AdaGrad. `texts`: of each text the (tokens, columns) feature numbers below `size`.
 
-    The result is the mean over the last two epochs. Features seen fewer than `least` times are not learnt. In training, columns of `lexical` are hidden with the
-    probability `dropped`, so that the others learn to do without them, as they must in texts of other wording.
+    The result is the mean over the last two epochs. Features seen fewer than `least` times are not learnt.
     """
     fixed, begin = allowed(labels)
     k = len(labels)
@@ -107,40 +149,28 @@ def fit(
     for text in texts:
         np.add.at(seen, text.ravel(), 1)
     rare = seen < least
-    known = [np.where(rare[text], size, text) for text in texts]
     model = Model(labels, np.zeros((size + 1, k), np.float32), fixed.copy(), begin.copy(), np.zeros((k, k)))
     past, past_step = np.full((size + 1, k), 1e-6, np.float32), np.full((k, k), 1e-6)
     rng = np.random.default_rng(seed)
     free = fixed == 0
     by_length = np.argsort([len(t) for t in texts], kind="stable")
-    chunks = [by_length[i:i + batch] for i in range(0, len(texts), batch)]
+    chunks = [_chunk([texts[i] for i in own], [golds[i] for i in own], rare, k) for own in (by_length[i:i + batch] for i in range(0, len(texts), batch))]
     mean, mean_step, averaged = np.zeros_like(model.weights), np.zeros((k, k)), 0
     for epoch in range(epochs):
         for c in rng.permutation(len(chunks)):
-            chunk = chunks[c]
-            features = np.concatenate([known[i] for i in chunk])
-            for column in lexical or ():
-                features[rng.random(len(features)) < dropped, column] = size
-            lengths = np.array([len(known[i]) for i in chunk])
-            padded, flat = pad(model.scores(features), lengths)
+            touched, token, of_token, feature, of_feature, lengths, truth, met = chunks[c]
+            scores = np.add.reduceat(model.weights[touched][feature], of_token, axis=0)
+            padded, flat = pad(scores, lengths)
             forward, backward, z = forward_backward(padded, lengths, model.transitions, model.begin)
             node = np.exp(forward + backward - z[:, None, None]).reshape(-1, k)[flat]
-            truth = np.concatenate([golds[i] for i in chunk])
             node[np.arange(len(truth)), truth] -= 1
-            touched, inverse = np.unique(features, return_inverse=True)
-            inverse, width = inverse.ravel(), features.shape[1]
-            grad = np.stack([np.bincount(inverse, weights=np.repeat(node[:, label], width), minlength=len(touched)) for label in range(k)], axis=1)
+            grad = np.add.reduceat(node[token], of_feature, axis=0)
             grad += decay * len(texts) / batch * model.weights[touched]
             past[touched] += grad * grad
             model.weights[touched] -= rate * grad / np.sqrt(past[touched])
             model.weights[size] = 0
-            step = np.zeros((k, k))
-            for t in range(1, padded.shape[1]):
-                on = t < lengths
-                edge = forward[on, t - 1, :, None] + model.transitions + (padded[on, t] + backward[on, t])[:, None, :] - z[on, None, None]
-                step += np.exp(edge).sum(axis=0)
-            for i in chunk:
-                np.add.at(step, (golds[i][:-1], golds[i][1:]), -1)
+            step = _steps(forward, padded + backward, z, lengths, model.transitions)
+            step -= met
             step *= free
             past_step += step * step
             model.transitions -= rate * step / np.sqrt(past_step)

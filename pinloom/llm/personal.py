@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from pinloom.llm import crf
+from pinloom.llm.function_words import word_class
 from pinloom.llm.personal_training import training_texts
 from pinloom.partitions import spread
 
@@ -103,23 +104,31 @@ def _number(name: str, value: object) -> int:
 
 @lru_cache(maxsize=1 << 17)
 def outline(token: str, kind: str) -> tuple[int, ...]:
-    """Hashes of PARTS; 0 where a part says nothing. Numbers and mixed runs show their form only, mail addresses and
-    links not even that."""
+    """Hashes of PARTS; 0 where a part says nothing. Numbers and mixed runs show their form and how they begin, mail
+    addresses and links not even that."""
     low = token.lower()
     digits = min(16, sum(c.isdigit() for c in token))
     if kind in ("number", "tail", "mixed"):
-        w = form(token)
-        values = (w, f"#{kind}{digits}{shape(token) if kind == 'mixed' else ''}", kind, None, None, None, None, None, f"{kind}{digits}", None, None, None)
+        w, head, ends = form(token), lead(token), f"{token[0].isalpha():d}{token[-1].isalpha():d}{len(token)}" if kind == "mixed" else None
+        values = (w, f"#{kind}{digits}{shape(token) if kind == 'mixed' else ''}", kind, f"{head}/{digits}", ends, None, head, None, f"{kind}{digits}", None, None, None)
     elif kind == "mail":
         values = (kind, kind, kind, None, None, None, None, None, None, "@" in token, regex.search("@[0-9]", token) is not None, token.count(" "))
     elif kind == "url":
         values = (kind,) * 3 + (None,) * 9
     else:
         word = kind in ("word", "caps")
-        values = (low, shape(token), kind, *((low[-2:], low[-3:], low[-4:], low[:3], script(low[0])) if word else (None,) * 5), None, None, None, None)
+        closed = word_class(low) if word else ""
+        letters = (low[-2:], low[-3:], low[-4:], low[:3], script(low[0])) if word and closed != "f" else (None,) * 5  # endings of closed classes say nothing
+        values = (low, shape(token) + closed, kind, *letters, None, None, None, None)
     return tuple(0 if v is None else _number(n, v) for n, v in zip(PARTS, values))
 
 
+def lead(number: str) -> str:
+    """How a number begins: calls abroad have a plus or two zeros, calls within a country one; three zeros reach nobody."""
+    digits = "".join(c for c in number if c.isdigit())
+    return "+" if "+" in number[:2] else str(min(3, len(digits) - len(digits.lstrip("0"))))
+
+
 def script(c: str) -> str:
     return "latin" if c < "ɐ" else "cyrillic" if "Ѐ" <= c <= "ӿ" else "other"
 
@@ -130,7 +139,6 @@ JOINED = (
     ((S, -1), (S, 0)), ((S, 0), (S, 1)), ((S, -1), (S, 0), (S, 1)), ((S, -2), (S, -1), (S, 0)), ((S, 0), (S, 1), (S, 2)), ((W, -1), (S, 0)), ((S, 0), (W, 1)), ((W, -2), (W, -1)), ((W, 1), (W, 2)),
     ((W, -1), (W, 1)), ((W, -1), (W, 0)), ((W, 0), (W, 1)), ((W, -2), (W, -1), (S, 0)), ((D, 0), (W, -1)), ((D, 0), (W, -2)), ((K, -1), (K, 0), (K, 1)), ((S, -2), (W, -1), (S, 0)), ((K, -2), (K, -1), (K, 0), (K, 1), (K, 2)),
 )
-LEXICAL = [0, 3, 4, 5, 12, 13, 14, 15] + [i for i, joined in enumerate(JOINED, 17 + 2) if any(part == W for part, _ in joined)]
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -222,10 +230,24 @@ def limits_of(kinds: list[str], gaps: np.ndarray) -> np.ndarray:
     return LIMITS[[ORDER[kind] for kind in kinds]] + (gaps >= 4)[:, None] * WITHIN_A_LINE
 
 
-@lru_cache(maxsize=4)
-def trained(size: int = 12000, seed: int = 11) -> crf.Model:
-    """The model, fitted on `size` generated texts; the same for the same arguments."""
-    texts, golds, edges = [], [], []
+MODELS: dict[tuple[int, int, int], crf.Model] = {}
+
+
+def trained(size: int = 12000, seed: int = 11, parts: int = 6, spark: SparkSession | None = None) -> crf.Model:
+    """The model; the same for the same numbers. It is the mean of `parts` fits, each on `size` generated texts of its
+    own, since what a single fit makes of words that it doesn't know is swayed by chance. With a session the fits run side
+    by side as tasks of the cluster."""
+    key = (size, seed, parts)
+    if key not in MODELS:
+        fit = lambda part: crf.pack(fitted(size, seed + part))
+        packed = spark.sparkContext.parallelize(range(parts), parts).map(fit).collect() if spark else [fit(part) for part in range(parts)]
+        MODELS[key] = crf.mean_of(packed, LABELS, ROWS)
+    return MODELS[key]
+
+
+def fitted(size: int, seed: int) -> crf.Model:
+    """One fit on `size` generated texts."""
+    told, golds, edges = [], [], []
     number = {x: i for i, x in enumerate(LABELS)}
     for text, spans in training_texts(size, seed):
         tokens = tokenize(text)
@@ -239,10 +261,16 @@ def trained(size: int = 12000, seed: int = 11) -> crf.Model:
                     gold[i] = ("I-" if n else "B-") + kind
         if any(g != "O" and g not in FITS[k] for g, (_, _, k) in zip(gold, tokens)):
             continue
-        texts.append(features(*describe(text, tokens), np.array([len(tokens)])))
+        told.append(describe(text, tokens))
         golds.append(np.array([number[g] for g in gold]))
         edges.append(skip_edges(text, tokens))
-    model = crf.fit(texts, golds, LABELS, ROWS, epochs=5, lexical=LEXICAL, dropped=0.15)
+    texts: list[np.ndarray] = []
+    for at in range(0, len(told), 256):
+        some = told[at:at + 256]
+        lengths = np.array([len(gaps) for _, gaps in some])
+        all_features = features([o for outlines, _ in some for o in outlines], np.concatenate([gaps for _, gaps in some]), lengths)
+        texts += np.split(all_features, np.cumsum(lengths)[:-1])
+    model = crf.fit(texts, golds, LABELS, ROWS, epochs=5)
     crf.fit_skip(model, edges, golds)
     return model
 
@@ -319,10 +347,11 @@ def find_personal(documents: DataFrame, size: int = 12000) -> DataFrame:
     """(doc_id, kind, found_text): the distinct personal values in `documents(doc_id, text)`, one row each.
 
     kind is one of KINDS; found_text is as in the text. A null or blank text gives no row; repeated rows of documents
-    give repeated values. Other columns are not read. The model is fitted in the driver on `size` generated texts and
-    sent to the workers; texts are labelled in one pass without a shuffle.
+    give repeated values. Other columns are not read. The model is fitted on generated texts, `size` for each of its
+    parts, and sent to the workers; texts are labelled in one pass without a shuffle.
     """
-    model = documents.sparkSession.sparkContext.broadcast(trained(size))
+    spark = documents.sparkSession
+    model = spark.sparkContext.broadcast(trained(size, spark=spark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,7 +379,8 @@ def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
 def redact_personal(documents: DataFrame, size: int = 12000) -> DataFrame:
     """(doc_id, redacted, values) for every row of `documents(doc_id, text)`: the text with typed placeholders and the
     number of replaced values. All else in the text stays; a null text stays null."""
-    model = documents.sparkSession.sparkContext.broadcast(trained(size))
+    spark = documents.sparkSession
+    model = spark.sparkContext.broadcast(trained(size, spark=spark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

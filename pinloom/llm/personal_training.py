@@ -219,6 +219,35 @@ AFTER = {
     "nl": "zingt|kwam te laat|en zijn vrouw|won een prijs|heeft de zaak verkocht|uit <T>|de timmerman|met <n> stemmen|in <Y>|was moe|is onze gast|opent de deur|, die <X> maakt,|, <n> jaar,|weer|al <n> jaar|schreef over <X>|naar de dokter|op de trap|lachte|kwam niet|bij <F>|aan de oever|heeft een boot|en <X>|de zaal uit|naar <T>|in de nacht|de bomen om|het dak op",
     "ru": "поёт|пришёл поздно|и его жена|получила премию|продал мастерскую|из <T>|плотник|, <n> голосов,|в <Y> году|устала|наш гость|откроет дверь|, который чинит <X>,|, <n> лет,|снова|уже <n> лет|писал про <X>|к врачу|на лестнице|смеялась|не пришёл|в <F>|на берегу|купил лодку|и <X>|выходит из зала|ночью|построил <X>|детям",
 }
+# Requests at the head of a sentence, frequent verbs of a third person, and questions without personal values.
+REQUESTS = {
+    "en": "ask|tell|phone|ring|call|thank|visit|remind|invite|help|warn|pay|follow|greet|find|meet|trust|forgive|see|let|send|show|give|bring|keep|bless|join|introduce|answer|write to|speak to|wait for|listen to|hello|goodbye|congratulations to",
+    "de": "fragen Sie|rufen Sie|treffen Sie|grüßen Sie|besuchen Sie|bezahlen Sie|suchen Sie|bitten Sie|melden Sie|frag|ruf|grüß|hilf|danke an|Gruß an|Rückruf bei|Besuch von|Nachricht von|Termin mit|Vortrag von|Brief an|Glückwunsch an|Antwort von",
+    "fr": "demandez à|téléphonez à|appelez|voyez|remerciez|aidez|payez|invitez|prévenez|suivez|cherchez|saluez|parlez à|attendez|merci à|rappel de|visite de|message de|réunion avec|lettre à|bravo à|réponse de",
+    "es": "pregunte a|llame a|visite a|avise a|ayude a|pague a|salude a|busque a|invite a|espere a|hable con|recuerde a|gracias a|visita de|mensaje de|reunión con|carta a|enhorabuena a|respuesta de|siga a",
+    "nl": "vraag|bel|bezoek|bedank|help|betaal|groet|zoek|volg|waarschuw|spreek met|wacht op|herinner|dank aan|bezoek van|bericht van|afspraak met|brief aan|groeten aan|antwoord van|telefoon voor",
+    "ru": "спросите|позвоните|найдите|поблагодарите|пригласите|предупредите|встретьте|поздравьте|помогите|передайте|напишите|звонок от|ответ от|письмо для|встреча:|спасибо,|привет,",
+}
+VERBS = {
+    "en": "said|says|asked|answered|went|came|took|made|gave|got|found|lost|left|stayed|lives|lived|works|worked|knew|thought|wanted|needed|bought|sold|paid|sent|wrote|read|signed|opened|closed|started|stopped|tried|helped|called|met|saw|heard|told|showed|kept|brought|carried|played|ran|won|died|learned|teaches|moved|painted|cleaned|cut|drove|waited|agreed|refused|did not want|does not know|has seen|had taken|will take|can use|must pay",
+    "de": "sagte|sagt|fragte|antwortete|ging|kam|nahm|machte|gab|bekam|fand|verlor|verließ|blieb|wohnt|lebte|arbeitet|wusste|dachte|wollte|brauchte|kaufte|verkaufte|zahlte|schickte|schrieb|las|unterschrieb|öffnete|schloss|begann|versuchte|half|rief|traf|sah|hörte|zeigte|behielt|brachte|trug|spielte|starb|lernte|zog|malte|fuhr|wartete|bat um|verlangte|kennt|hat|muss|kann|wird|soll|darf",
+    "fr": "dit|demanda|a demandé|répondit|alla|est venu|prit|fit|a donné|reçut|trouva|a perdu|quitta|resta|habite|vivait|travaille|savait|pensait|voulait|acheta|a vendu|paya|envoya|écrivit|lut|a signé|ouvrit|ferma|commença|essaya|aida|appela|rencontra|a vu|entendit|montra|garda|apporta|jouait|mourut|apprit|peint|attendait|refuse|connaît|doit|peut|veut|a pris|avait",
+    "es": "dijo|preguntó|pidió|respondió|fue|vino|tomó|hizo|dio|recibió|encontró|perdió|dejó|quedó|vive|vivía|trabaja|sabía|pensaba|quería|compró|vendió|pagó|envió|escribió|leyó|firmó|abrió|cerró|empezó|intentó|ayudó|llamó|conoció|vio|oyó|mostró|guardó|trajo|jugaba|murió|aprendió|pintó|esperaba|rechazó|conoce|debe|puede|ha tomado|había visto",
+    "nl": "zei|vroeg|antwoordde|ging|kwam|nam|maakte|gaf|kreeg|vond|verloor|verliet|bleef|woont|leefde|werkt|wist|dacht|wilde|kocht|verkocht|betaalde|stuurde|schreef|las|tekende|opende|sloot|begon|probeerde|hielp|belde|ontmoette|zag|hoorde|toonde|hield|bracht|droeg|speelde|stierf|leerde|schilderde|wachtte|weigerde|kent|moet|kan|wil|heeft|had",
+    "ru": "сказал|спросила|попросил|ответила|пошёл|пришла|взял|сделала|дал|получила|нашёл|потеряла|ушёл|осталась|живёт|жила|работает|знал|думала|хотел|купила|продал|заплатила|отправил|читала|подписал|открыла|закрыл|начала|помог|звонила|встретил|видела|слышал|показала|принёс|играла|умер|училась|рисовал|ждала|отказался|знает|должен|может|хочет",
+}
+QUESTIONS = {
+    "en": "can one visit <T> in winter?|is there a bus to <T>?|does <F> still make <X>?|how far is it to <T>?|who will mend <X>, and when?|why did <T> lose?|must <X> be so dear?|which is older, <T> or <T>?",
+    "de": "kann man <T> im Winter besuchen?|gibt es einen Bus nach <T>?|stellt <F> noch <X> her?|wie weit ist es bis <T>?|warum hat <T> verloren?|wer repariert <X>, und wann?|falls <T> gewinnt, feiern wir.|ob <T> größer ist, weiß ich nicht.",
+    "fr": "peut-on visiter <T> en hiver ?|y a-t-il un car pour <T> ?|est-ce que <F> fabrique encore <X> ?|à quelle distance est <T> ?|pourquoi <T> a-t-il perdu ?|doit-on payer <X> ?|combien coûte <X> ?|qu'est-ce que <X> ?|vaut-il mieux passer par <T> ?|a-t-on trouvé <X> ?|sait-on si <T> viendra ?",
+    "es": "¿se puede visitar <T> en invierno?|¿hay autobús a <T>?|¿fabrica <F> todavía <X>?|¿a qué distancia está <T>?|¿por qué perdió <T>?|¿cuánto cuesta <X>?|¿quién arregla <X>?",
+    "nl": "kun je <T> in de winter bezoeken?|gaat er een bus naar <T>?|maakt <F> nog <X>?|hoe ver is het naar <T>?|waarom verloor <T>?|wie maakt <X>, en wanneer?|als <T> wint, vieren we feest.",
+    "ru": "можно ли зимой посетить <T>?|есть ли автобус в <T>?|делает ли <F> ещё <X>?|далеко ли до <T>?|почему <T> проиграл?|сколько стоит <X>?|кто починит <X>?",
+}
+OBJECTS = {
+    "en": "<X>|<X> from <T>|in <T>|<n> times|a lot|it|nothing|at <H>|on <D>|with <X>|for <X>|at home|to <T>|that <X> was gone", "de": "<X>|<X> aus <T>|in <T>|<n> Mal|viel|es|nichts|um <H>|am <D>|mit <X>|für <X>|zu Hause|nach <T>", "fr": "<X>|<X> de <T>|à <T>|<n> fois|beaucoup|tout|rien|à <H>|le <D>|avec <X>|pour <X>|chez soi|que <X> manquait",
+    "es": "<X>|<X> de <T>|en <T>|<n> veces|mucho|todo|nada|a las <H>|el <D>|con <X>|para <X>|en casa|que faltaba <X>", "nl": "<X>|<X> uit <T>|in <T>|<n> keer|veel|alles|niets|om <H>|op <D>|met <X>|voor <X>|thuis|dat <X> weg was", "ru": "<X>|<X> из <T>|в <T>|<n> раз|много|всё|ничего|в <H>|<D>|с утра|для дома|дома|про <X>",
+}
 ORDINARY_AFTER = {
     "en": "<n> visitors came|<n> of them left|the river rose|<X> broke|nobody came|<T> was quiet|<n> people waited|it was <n> degrees", "de": "<n> Gäste kamen|<n> davon gingen|der Fluss stieg|<X> zerbrach|niemand kam|<T> war still|<n> Leute warteten|der Ofen ging aus", "fr": "<n> visiteurs vinrent|<n> restèrent|la rivière montait|<X> cassa|personne ne vint|<T> dormait|<n> personnes attendaient|le four s'éteignit",
     "es": "<n> vinieron tarde|<n> de ellos faltan|el río subía|<X> se rompió|nadie vino|<T> dormía|<n> personas esperaban|se apagó el horno", "nl": "<n> gasten kwamen|<n> bleven weg|de rivier steeg|<X> brak|niemand kwam|<T> sliep|<n> mensen wachtten|de oven ging uit", "ru": "<n> гостей пришли|<n> ушли|река поднялась|<X> сломался|никто не пришёл|<T> спал|<n> человек ждали|печь погасла",
@@ -461,12 +490,12 @@ npm install <w>@<v>
 © <Y> <F>"""
 
 LABELS = {
-    "en": {"N": "Name|Client|Tenant|Signed|Attn|Applicant|Guest|name|Caller|Owner of record", "E": "Mail|E-mail|email|Write to|Reply-To|Inbox", "P": "Phone|Tel|Tel.|Mobile|Cell|Fax|phone|Call|Hotline|Ph.", "I": "ID|Passport|Passport no.|SSN|NI number|Tax ID|Insurance no.|id|National ID|Identity number|ID card", "A": "Address|Home|Residence|Deliver to|Street|addr|Lives at|Site", "R": "Order|Invoice|Batch|Serial|Ticket|Tracking|Part|Ref.|Lot|Article|Counter|order no.|Flight|Booking"},
-    "de": {"N": "Name|Kunde|Mieterin|Gezeichnet|z. Hd.|Anrufer|Inhaberin", "E": "Mail|E-Mail|Post an|Antwort an", "P": "Telefon|Tel.|Mobil|Fax|Handy|Rufnummer", "I": "Ausweis|Reisepass|Pass-Nr.|Steuer-ID|Versichertennummer|Personalausweis|Sozialversicherung|ID", "A": "Anschrift|Adresse|Wohnort|Lieferung an|Wohnhaft", "R": "Bestellung|Rechnung|Charge|Serie|Vorgang|Sendung|Teil|Zähler|Artikel|Auftragsnr.|Buchung"},
-    "fr": {"N": "Nom|Client|Locataire|Signé|À l'attention de|Titulaire", "E": "Courriel|Mail|E-mail|Écrire à", "P": "Téléphone|Tél.|Portable|Fax|Mobile", "I": "Passeport|Carte d'identité|N° fiscal|Sécurité sociale|NIR|Pièce d'identité|ID", "A": "Adresse|Domicile|Livrer à|Résidence", "R": "Commande|Facture|Lot|Série|Dossier|Colis|Pièce|Compteur|Article|Réf.|Réservation"},
-    "es": {"N": "Nombre|Cliente|Inquilina|Firmado|A la atención de|Titular", "E": "Correo|Email|E-mail|Escribir a", "P": "Teléfono|Tel.|Móvil|Fax|Tfno.", "I": "DNI|NIE|Pasaporte|NIF|Seguridad Social|Documento|Cédula|ID", "A": "Dirección|Domicilio|Entregar en|Residencia", "R": "Pedido|Factura|Lote|Serie|Expediente|Envío|Pieza|Contador|Artículo|Ref.|Reserva"},
-    "nl": {"N": "Naam|Klant|Huurder|Getekend|T.a.v.|Houder", "E": "Mail|E-mail|Schrijf naar|Antwoord aan", "P": "Telefoon|Tel.|Mobiel|Fax|Tel", "I": "Paspoort|BSN|Identiteitskaart|Fiscaal nummer|Verzekeringsnr.|Rijbewijs|ID", "A": "Adres|Woonadres|Bezorgen op|Thuis", "R": "Bestelling|Factuur|Partij|Serie|Zaak|Zending|Onderdeel|Meter|Artikel|Ref.|Boeking"},
-    "ru": {"N": "Имя|Ф. И. О.|ФИО|Клиент|Подпись|Кому|Владелец", "E": "Почта|Эл. почта|E-mail|Писать на", "P": "Телефон|Тел.|Моб.|Факс|тел", "I": "Паспорт|СНИЛС|ИНН|Удостоверение|Полис|Документ|Паспорт №", "A": "Адрес|Проживает|Доставить|Прописка", "R": "Заказ|Счёт|Партия|Серия|Заявка|Посылка|Деталь|Счётчик|Артикул|Накладная"},
+    "en": {"N": "Name|Client|Tenant|Signed|Attn|Applicant|Guest|name|Caller|Owner of record", "E": "Mail|E-mail|email|Write to|Reply-To|Inbox", "P": "Phone|Tel|Tel.|Mobile|Cell|Fax|phone|Call|Hotline|Ph.", "I": "ID|Passport|Passport no.|SSN|NI number|Tax ID|Insurance no.|id|National ID|Identity number|ID card", "A": "Address|Home|Residence|Deliver to|Street|addr|Lives at|Site", "R": "Order|Invoice|Batch|Serial|Ticket|Tracking|Part|Ref.|Lot|Article|Counter|order no.|Flight|Booking|Meter|Reading|Item|Model|Code|File|Receipt|Account|counter|lot|part"},
+    "de": {"N": "Name|Kunde|Mieterin|Gezeichnet|z. Hd.|Anrufer|Inhaberin", "E": "Mail|E-Mail|Post an|Antwort an", "P": "Telefon|Tel.|Mobil|Fax|Handy|Rufnummer", "I": "Ausweis|Reisepass|Pass-Nr.|Steuer-ID|Versichertennummer|Personalausweis|Sozialversicherung|ID", "A": "Anschrift|Adresse|Wohnort|Lieferung an|Wohnhaft", "R": "Bestellung|Rechnung|Charge|Serie|Vorgang|Sendung|Teil|Zähler|Artikel|Auftragsnr.|Buchung|Zählerstand|Modell|Auftrag|Beleg|Konto|Aktenzeichen|Code|Gerät"},
+    "fr": {"N": "Nom|Client|Locataire|Signé|À l'attention de|Titulaire", "E": "Courriel|Mail|E-mail|Écrire à", "P": "Téléphone|Tél.|Portable|Fax|Mobile", "I": "Passeport|Carte d'identité|N° fiscal|Sécurité sociale|NIR|Pièce d'identité|ID", "A": "Adresse|Domicile|Livrer à|Résidence", "R": "Commande|Facture|Lot|Série|Dossier|Colis|Pièce|Compteur|Article|Réf.|Réservation|Modèle|Bon|Compte|Relevé|Code|Appareil|N° de lot"},
+    "es": {"N": "Nombre|Cliente|Inquilina|Firmado|A la atención de|Titular", "E": "Correo|Email|E-mail|Escribir a", "P": "Teléfono|Tel.|Móvil|Fax|Tfno.", "I": "DNI|NIE|Pasaporte|NIF|Seguridad Social|Documento|Cédula|ID", "A": "Dirección|Domicilio|Entregar en|Residencia", "R": "Pedido|Factura|Lote|Serie|Expediente|Envío|Pieza|Contador|Artículo|Ref.|Reserva|Modelo|Recibo|Cuenta|Código|Lectura|Aparato|N.º de lote"},
+    "nl": {"N": "Naam|Klant|Huurder|Getekend|T.a.v.|Houder", "E": "Mail|E-mail|Schrijf naar|Antwoord aan", "P": "Telefoon|Tel.|Mobiel|Fax|Tel", "I": "Paspoort|BSN|Identiteitskaart|Fiscaal nummer|Verzekeringsnr.|Rijbewijs|ID", "A": "Adres|Woonadres|Bezorgen op|Thuis", "R": "Bestelling|Factuur|Partij|Serie|Zaak|Zending|Onderdeel|Meter|Artikel|Ref.|Boeking|Teller|Model|Bon|Opdracht|Code|Rekening|Toestel"},
+    "ru": {"N": "Имя|Ф. И. О.|ФИО|Клиент|Подпись|Кому|Владелец", "E": "Почта|Эл. почта|E-mail|Писать на", "P": "Телефон|Тел.|Моб.|Факс|тел", "I": "Паспорт|СНИЛС|ИНН|Удостоверение|Полис|Документ|Паспорт №", "A": "Адрес|Проживает|Доставить|Прописка", "R": "Заказ|Счёт|Партия|Серия|Заявка|Посылка|Деталь|Счётчик|Артикул|Накладная|Модель|Код|Чек|Договор|Счётчик №|Прибор"},
 }
 TITLES = {"en": "Mr|Mrs|Ms|Dr|Dr.|Prof.|Sir|Miss|Mr.", "de": "Herr|Frau|Dr.|Prof.|Herrn", "fr": "M.|Mme|Dr|Pr|Monsieur|Madame", "es": "Sr.|Sra.|Dr.|Dra.|don|doña", "nl": "dhr.|mevr.|dr.|mevrouw|meneer", "ru": "г-н|г-жа|д-р|проф.|господин"}
 NOUNS = {
@@ -477,14 +506,18 @@ NOUNS = {
     "nl": "raam|hamer|boot|brief|boomgaard|dakpan|klok|tapijt|fiets|radio|zak meel|viool|kaart|schoorsteen|trekker|deken|contract|prikbord|bijenkorf|tuinmuur|motor|spiegel|lift|zadel|printer|kaas",
     "ru": "окно|молоток|лодка|письмо|сад|черепица|часы|ковёр|велосипед|радио|мешок муки|скрипка|карта|труба|трактор|одеяло|договор|объявление|улей|забор|мотор|зеркало|лифт|седло|принтер|сыр",
 }
-DETERMINERS = {"en": "the|a|this|her|their|the old|the new|the red|every|our", "de": "das|ein|dieses|der neue|die alte|unser|kein|das rote", "fr": "le|la|un|une|cette|notre|le vieux|la nouvelle", "es": "el|la|un|una|esta|nuestra|el viejo|la nueva", "nl": "het|de|een|die|onze|de oude|het nieuwe", "ru": "старый|новый|наш|этот|красный|чужой|каждый"}
-FIRMS = "Ltd|GmbH|Inc.|SA|BV|AG|Group|Industries|Holdings|Partners|Trading|Motors|Systems|Foods|Textiles|Bakery|Brewery|Shipping|Logistics|Steel|Chemicals|Publishing|Institute|University|Bank|Clinic|School|Airlines|Insurance|& Sons|& Co.|Brothers|Energy|Tools|Paper|Museum|Hotel|Club|Works|Mills|Farms|Studio|Labs|Theatre|Hospital|Garage|Pharmacy|Transport|Electric|Mining|Dairy|Society|Council|Agency|Союз|Завод"
-WATERS = {"en": "Lake {}|Loch {}|River {}|Mount {}|{} Bay|{} Hill|{} Lake|{} Valley|the {} Canal", "de": "den See {}|den {} See|den Berg {}|die {} Brücke|Schloss {}|Burg {}", "fr": "le lac {}|le mont {}|la rivière {}|le canal {}|le château {}", "es": "el lago {}|el monte {}|el río {}|la sierra {}|el castillo {}", "nl": "het meer {}|de berg {}|de rivier {}|het kanaal {}|kasteel {}", "ru": "озеро {}|река {}|гора {}|канал {}|замок {}"}
+DETERMINERS = {
+    "en": "the|the|a|this|that|my|your|his|her|its|their|some|each|no|the old|the new|the red|every|our|the small|another|two|three|many|both", "de": "das|der|die|den|dem|ein|eine|einen|dieses|jeder|mein|ihr|der neue|die alte|unser|kein|das rote|der kleine|die letzte|zwei|drei|viele|alle|beide|einige",
+    "fr": "le|la|les|un|une|des|du|ce|cette|mon|leur|notre|le vieux|la nouvelle|le petit|chaque|deux|trois|plusieurs|quelques", "es": "el|la|los|las|un|una|este|esta|su|mi|nuestra|el viejo|la nueva|cada|el pequeño|dos|tres|varios|muchos", "nl": "het|de|een|dit|die|deze|zijn|geen|onze|de oude|het nieuwe|elke|de kleine|twee|drie|veel|alle", "ru": "старый|новый|наш|этот|красный|чужой|каждый|мой|их|другой|маленький|два|три|много|все",
+}
+OF_NOUN = {"en": ["{a} {b}", "{a} of the {b}"], "de": ["{a}{c}", "{a} im {b}", "{a} der {b}"], "fr": ["{a} du {b}", "{a} de la {b}", "{a} à {b}", "{a} des {b}", "{a} d'{b}"], "es": ["{a} del {b}", "{a} de la {b}", "{a} de {b}", "{a} de los {b}"], "nl": ["{a} van de {b}", "{a}{c}", "{a} voor het {b}"], "ru": ["{a} и {b}", "{a} для {b}"]}
+FIRMS = "Ltd|GmbH|Inc.|SA|BV|AG|Group|Industries|Holdings|Partners|Trading|Motors|Systems|Foods|Textiles|Bakery|Brewery|Shipping|Logistics|Steel|Chemicals|Publishing|Institute|University|Bank|Clinic|School|Airlines|Insurance|Media|Software|Solutions|Consulting|Technologies|Services|International|Associates|Capital|Ventures|Records|Films|Pharma|Optics|Instruments|Machinery|Plastics|Glass|Timber|Furniture|Toys|Games|Travel|Tours|Cars|Rail|Airways|Marine|Oil|Water|Power|Cement|Bricks|Metals|Wire|Cables|Valves|Pumps|Gears|Batteries|Networks|Radio|News|Times|Books|Printing|Packaging|Fashion|Shoes|Cosmetics|Coffee|Wines|Fisheries|Seeds|Flowers|Foundation|Trust|Union|Federation|Academy|College|Library|Archive|Orchestra|Choir|United|City|Rovers|Party|Castle|Park|Airport|Station|Cathedral|& Sons|& Co.|Brothers|Energy|Tools|Paper|Museum|Hotel|Club|Works|Mills|Farms|Studio|Labs|Theatre|Hospital|Garage|Pharmacy|Transport|Electric|Mining|Dairy|Society|Council|Agency|Союз|Завод"
+WATERS = {"en": "Lake {}|Loch {}|River {}|Mount {}|{} Bay|{} Hill|{} Lake|{} Valley|the {} Canal|{} Island|Cape {}|Port {}|{} Falls|{} Forest|Fort {}|Castle {}|{} Moor|Isle of {}", "de": "den See {}|den {} See|den Berg {}|die {} Brücke|Schloss {}|Burg {}|am See {}|am Berg {}|im Tal {}|der Fluss {}|die Insel {}|Kloster {}|Bad {}|der Bach {}|am Kanal {}", "fr": "le lac {}|le mont {}|la rivière {}|le canal {}|le château {}|l'île {}|le col {}|la forêt {}|au lac {}|le bois {}|Saint-{}", "es": "el lago {}|el monte {}|el río {}|la sierra {}|el castillo {}|la isla {}|el valle {}|al lago {}|el puerto {}|el bosque {}|San {}|Santa {}", "nl": "het meer {}|de berg {}|de rivier {}|het kanaal {}|kasteel {}|het eiland {}|het bos {}|bij meer {}|de haven {}|de polder {}|fort {}", "ru": "озеро {}|река {}|гора {}|канал {}|замок {}|остров {}|лес {}|долина {}|порт {}|мыс {}"}
 MONTHS = {"en": "January|March|April|June|August|October", "de": "Januar|März|April|Juni|August|Oktober", "fr": "janvier|mars|avril|juin|août|octobre", "es": "enero|marzo|abril|junio|agosto|octubre", "nl": "januari|maart|april|juni|augustus|oktober", "ru": "января|марта|апреля|июня|августа|октября"}
 
 # Formats of numbers as countries write them; 0 is any digit, A a capital letter, a a small one, X a digit or capital letter.
-PHONES = "+44 20 0000 0000|+44 0000 000000|0000 000 0000|00000 000000|(000) 0000 0000|+1 000-000-0000|(000) 000-0000|000-000-0000|000.000.0000|1-000-000-0000|+49 00 00000000|+49 (0)000 0000000|0000/000000|000 0000000|0000 00 00 00|00000-000000|+33 0 00 00 00 00|00 00 00 00 00|00.00.00.00.00|+34 000 000 000|000 00 00 00|000 000 000|+31 00 000 0000|000-0000000|00-00000000|00 0000 0000|+31 (0)00 000 00 00|+7 000 000-00-00|8 (000) 000-00-00|+7 (000) 000 00 00|8-000-000-00-00|0000000000|00000000000|+00000000000|+000000000000|000000000|+43 0 000 0000|+32 000 00 00 00|+41 00 000 00 00|+39 000 000 0000|00000 0000|0 000 000 0000|0000-0000|000 00000|+351 000 000 000|+45 00 00 00 00|0 00 00 00 00 00|(00) 00000-0000|(0000) 000-000|+00 (000) 000 00 00"
-IDENTITIES = "000-00-0000|AA000000A|AA 00 00 00 A|000 000 0000|000000000|AX0X00X00|AX0X00X000|A0000000|AX0000000|00 000 000 000|00000000000|00 000000 A 000|00000000A000|0000000000000|0 00 00 00 000 000 00|0 00 00 00 000 000|000000000000000|00AA00000|000000000000|00000000A|00000000-A|00.000.000-A|A0000000A|A-0000000-A|00/00000000/00|00 00000000 00|0000.00.000|000.000.000|AAXXXXXX0|AA0000000|AA 0000000|A000000|00 00 000000|0000 000000|0000000000|000-000-000 00|AAAAAA00A00A000A|AAAA000000AAAAAA00|00.00.00-000.00|000000-0000|00000000-0000|000.000.000-00|000-000-000|AAAAA0000A|0000 0000 0000|000.0000.0000.00|AAA000000|AA-000000|AAA 000000|0000000A|a0000000a|aa-00-00-00-a|0-0000-00000-00-0|AA 000 000 A"
+PHONES = "000 000 0000|000 000 0000|+44 20 0000 0000|+44 0000 000000|0000 000 0000|00000 000000|(000) 0000 0000|+1 000-000-0000|(000) 000-0000|000-000-0000|000.000.0000|1-000-000-0000|+49 00 00000000|+49 (0)000 0000000|0000/000000|000 0000000|0000 00 00 00|00000-000000|+33 0 00 00 00 00|00 00 00 00 00|00.00.00.00.00|+34 000 000 000|000 00 00 00|000 000 000|+31 00 000 0000|000-0000000|00-00000000|00 0000 0000|+31 (0)00 000 00 00|+7 000 000-00-00|8 (000) 000-00-00|+7 (000) 000 00 00|8-000-000-00-00|0000000000|00000000000|+00000000000|+000000000000|000000000|+43 0 000 0000|+32 000 00 00 00|+41 00 000 00 00|+39 000 000 0000|00000 0000|0 000 000 0000|0000-0000|000 00000|+351 000 000 000|+45 00 00 00 00|0 00 00 00 00 00|(00) 00000-0000|(0000) 000-000|+00 (000) 000 00 00"
+IDENTITIES = "000 00 0000|000-00-0000|AA000000A|AA 00 00 00 A|000 000 0000|000000000|AX0X00X00|AX0X00X000|A0000000|AX0000000|00 000 000 000|00000000000|00 000000 A 000|00000000A000|0000000000000|0 00 00 00 000 000 00|0 00 00 00 000 000|000000000000000|00AA00000|000000000000|00000000A|00000000-A|00.000.000-A|A0000000A|A-0000000-A|00/00000000/00|00 00000000 00|0000.00.000|000.000.000|AAXXXXXX0|AA0000000|AA 0000000|A000000|00 00 000000|0000 000000|0000000000|000-000-000 00|AAAAAA00A00A000A|AAAA000000AAAAAA00|00.00.00-000.00|000000-0000|00000000-0000|000.000.000-00|000-000-000|AAAAA0000A|0000 0000 0000|000.0000.0000.00|AAA000000|AA-000000|AAA 000000|0000000A|a0000000a|aa-00-00-00-a|0-0000-00000-00-0|AA 000 000 A"
 REFERENCES = "00000000000|000000000000|000-00-00000|000-000-0000|00-0000|AA-0000-000|0000000|A000|AA0000|000/00|0000-00-00000|R-00000|00000000|0000000000|AA000000000AA|00000-00|AAA-00-000|X0X0X0X0|AA00000000|0.000.000|00,000,000|00000|000000|Y000-00|AA/0000/00|0000-000|000000000|00-000-0000|0000.0000|A-00000000"
 
 GIVEN = "Anna|Peter|Maria|Thomas|Laura|Paul|Julia|Martin|Sophie|David|Elena|Lukas|Ingrid|Carlos|Lucía|Pierre|Amélie|Jan|Femke|Willem|Olga|Ivan|Nadia|James|Emily|Robert|Grace|Hassan|Aisha|Mei|Kenji|Priya|Arjun|Zoë|Björn|Łukasz|José|Chloé|Tomasz|Katrin"
@@ -494,6 +527,8 @@ PARTICLES = "von|van|van der|van den|de|de la|del|da|di|du|ter|le|al|zu|bin"
 ONSETS, VOWELS, CODAS = "b|br|c|ch|d|dr|f|fl|g|gr|h|j|k|kl|l|m|n|p|pr|qu|r|s|sch|st|t|th|tr|v|w|y|z|", "a|e|i|o|u|ai|ee|ie|ou|á|é|ü|y", "n|r|s|l|m|t|ck|nd|rt|x||||"
 ENDS_NAME = "son|sen|mann|er|ski|ova|ov|ez|ini|eau|ard|ley|ton|o|a|ic|dze|yan|stra|wood|ford|berg|feld|ois|ette|ini|us"
 ENDS_TOWN = "ton|ville|burg|ford|stadt|hausen|ham|bury|mouth|port|dorf|dijk|recht|grad|sk|ino|mont|ac|puerto|haven|field|bridge|wick|by|stead|heim|ek|ria"
+ENDS_ANY = "|".join(sorted({*ENDS_NAME.split("|"), *ENDS_TOWN.split("|"), *"an|en|in|on|un|ar|er|ir|or|ur|al|el|il|ol|ul|as|es|is|os|us|at|et|it|ot|ut|ak|ek|ik|ok|uk|am|em|im|om|um|ash|esh|ish|ane|ene|ine|one|une|ale|ele|ile|ole|ule|are|ere|ire|ore|ure|ya|ye|yo|ra|re|ri|ro|ru|na|ne|ni|no|nu|la|le|li|lo|lu|ta|te|ti|to|tu|da|de|di|do|du|va|ve|vi|vo|ka|ke|ki|ko|ku|sa|se|si|so|ma|me|mi|mo|sh|th|ch|ll|nn|rr|ss|nk|ng|lt|lm|rn|rk|x|z|y|ey|oy|ay".split("|")}))
+PLAIN_ENDS = 0.4
 ROOTS = "Garden|King|Victoria|North|School|Church|Maple|Cedar|Harbour|Castle|Bridge|Lincoln|Chapel|Grange|Elm|Station|York|Hill|River|Market|Queen|Forest|Spring"
 ENDS_EN = "Street|St|St.|Road|Rd|Lane|Avenue|Ave|Ave.|Close|Drive|Dr.|Way|Crescent|Court|Terrace|Square|Boulevard|Blvd|Place|Gardens|Row|Hill|Walk"
 ROOTS_DE, ENDS_DE, FREE_DE = "Bahnhof|Goethe|Haupt|Kirch|Berg|Wald|Friedrich|Rosen|Schiller|Ring|Markt|Eichen|Wiesen|Dorf|Garten|Brunnen|Amsel", "straße|str.|strasse|weg|gasse|allee|platz|ring|damm|ufer|steig", "Am Alten Markt|Unter den Eichen|An der Kirche|Im Winkel|Zum Hafen|Auf dem Berg|Alte Landstraße|Am Bahndamm|Hinter der Mauer"
@@ -525,6 +560,8 @@ class Writer:
     def made(self, ends: str) -> str:
         """A pronounceable word that nobody knows."""
         word = "".join(self.pick(ONSETS) + self.pick(VOWELS) + (self.pick(CODAS) if self.odds(0.4) else "") for _ in range(self.rng.randint(1, 2)))
+        if self.odds(PLAIN_ENDS):  # names of people, towns and things may end alike
+            ends = ENDS_ANY
         return (word + self.pick(ends)).capitalize() if self.odds(0.7) or len(word) < 3 else word.capitalize()
 
     def person(self) -> str:
@@ -583,6 +620,7 @@ class Writer:
         if lang == "en":
             n = str(rng.randrange(100, 20000)) if self.odds(0.15) else n + (rng.choice("abcdAB") if self.odds(0.12) else "")
             root = self.pick(ROOTS) if self.odds(0.5) else self.made(ENDS_TOWN)
+            root += " " + self.pick(ROOTS) if self.odds(0.08) else ""
             out = f"{n} {rng.choice(['N ', 'S ', 'West ', 'Old ', 'Great ', 'St ']) if self.odds(0.1) else ''}{root} {self.pick(ENDS_EN)}"
             unit = f"{rng.choice(['Flat', 'Apt', 'Apt.', 'Unit', 'Suite', 'Apartment', 'Room'])} {rng.randrange(1, 40)}{rng.choice(['', '', 'A', 'B'])}"
             form = rng.random()
@@ -599,10 +637,14 @@ class Writer:
             return f"{root}{'er ' + rng.choice(['Straße', 'Str.', 'Weg', 'Allee']) if self.odds(0.25) else self.pick(ENDS_DE)} {n}"
         if lang == "fr":
             of = self.pick(OF_FR) if self.odds(0.6) else rng.choice(["de ", "du ", "des ", ""]) + self.made(ENDS_TOWN)
+            if self.odds(0.3):  # a name of several words
+                of = rng.choice(["du", "de la", "des", "du", "aux", "de l'ancien", "de l'ancienne"]) + " " + rng.choice(["Grand", "Petit", "Haute", "Basse", "Deux", "Trois", "Gros", "Beau", "Belle", "Bon", "Général", "Docteur", "Maréchal", "Onze", "Franc", "Clos", "Pré", "Bas", self.made(ENDS_TOWN), self.made("e|s|es|in"), self.made("e|s|es|in")]) + " " + rng.choice(["Pont", "Prés", "Croix", "Rois", "Chêne", "Port", "Puits", "Tour", "Novembre", "Bois", "Martyrs", *(self.made(ENDS_TOWN + "|e|s|es|on|in") for _ in range(8)), self.made(ENDS_NAME)])
             out = f"{n}{rng.choice([' bis', ' ter', ' B', 'bis']) if self.odds(0.2) else ''}{',' if self.odds(0.35) else ''} {self.pick(STREETS_FR)} {of}"
             return f"{out}, {rng.choice(['appt', 'appartement', 'bât.', 'apt.'])} {rng.choice(['B', 'C', str(rng.randrange(1, 40))])}" if self.odds(0.12) else out
         if lang == "es":
             of = self.pick(OF_ES) if self.odds(0.6) else rng.choice(["de ", "del ", ""]) + self.made(ENDS_TOWN)
+            if self.odds(0.15):  # a name of several words
+                of = rng.choice(["de los ", "de las ", "del ", "de la ", ""]) + rng.choice(["Doctor", "Tres", "Dos", "Gran", "Santa", "Reyes", "Alta", "Baja", "General", "Nuestra", "Puerta"]) + " " + rng.choice(["Cruces", "Vía", "Católicos", "Señora", "Fuentes", "Torre", self.made(ENDS_TOWN), self.made(ENDS_NAME)])
             out = f"{self.pick(STREETS_ES)} {of}{rng.choice([' ', ', ', ', n.º ', ', nº ', ' núm. '])}{n}"
             return f"{out}, {rng.choice(['{}.º {}', '{}º {}', 'piso {}, puerta {}', '{} {}']).format(rng.randrange(1, 9), rng.choice('ABCDE'))}" if self.odds(0.2) else out
         if lang == "nl":
@@ -621,9 +663,13 @@ class Writer:
         area = "".join(rng.choice("123456789") for _ in range(rng.randint(1, 4)))
         area = area if start != "0" else "0" + area
         start = "" if start == "0" else start + (between if self.odds(0.8) else " ")
+        if start and self.odds(0.12):  # all that follows the country in one run
+            return start.rstrip() + rng.choice([" ", " ", "", "-"]) + self.fill("0" * rng.randint(8, 10))
         if self.odds(0.2):
             area = f"({area})" if self.odds(0.5) or not start else f"(0){rng.choice(['', ' '])}{area}"
         rest = [self.fill("0" * rng.randint(2, 5)) for _ in range(rng.randint(1, 3))]
+        if sum(c.isdigit() for c in start + area) + sum(map(len, rest)) < 7:
+            rest.append(self.fill("0000"))
         return start + area + (between if self.odds(0.7) else rng.choice([" ", "/", "-"])) + between.join(rest)
 
     def grouped_identity(self) -> str:
@@ -640,6 +686,14 @@ class Writer:
             at += step
         return self.fill(between.join(out))
 
+    def grouped_reference(self) -> str:
+        """Some letters and digits in any grouping, as firms number what they have."""
+        rng = self.rng
+        head = self.fill(rng.choice(["", "", "", "A", "AA", "AAA"]))
+        between = rng.choice(["-", "/", ".", "", "", "-"])
+        groups = [self.fill("0" * rng.randint(1, 6)) for _ in range(rng.randint(1, 3))]
+        return head + (between if head and self.odds(0.5) else "") + (between.join(groups) if between or len(head) else "".join(groups)) + self.fill(rng.choice(["", "", "", "", "A"]))
+
     def value(self, kind: str) -> str:
         rng = self.rng
         if kind == "P":
@@ -647,6 +701,7 @@ class Writer:
             return number.replace(" ", rng.choice("  ")) if self.odds(0.12) else number
         if kind == "I":
             number = self.fill(self.pick(IDENTITIES)) if self.odds(0.7) else self.grouped_identity()
+            number = filled_up(number, rng.randint(1, 5)) if self.odds(0.2) else number
             return number.replace(" ", rng.choice("  ")) if self.odds(0.06) else number
         return {"N": self.person, "E": self.email, "A": self.street}[kind]()
 
@@ -671,6 +726,9 @@ class Writer:
             if self.odds(0.35):  # a word nobody knows, small as common nouns are, or a capital where German has one
                 noun = self.made("a|er|en|um|ik|al") if self.lang == "de" else self.made("a|er|on|um|ik|al").lower()
                 noun = cyrillic(noun) if self.lang == "ru" else noun
+            if self.odds(0.2):  # a thing of a thing
+                other = self.pick(NOUNS[self.lang])
+                noun = self.rng.choice(OF_NOUN[self.lang]).format(a=noun, b=other, c=other.lower())
             extra = self.word() + " " if self.odds(0.15) else ""
             extra = cyrillic(extra) if self.lang == "ru" else extra
             return f"{self.pick(DETERMINERS[self.lang]) + ' ' if self.odds(0.8) else ''}{extra}{noun}"
@@ -680,7 +738,7 @@ class Writer:
         simple = {
             "H": lambda: rng.choice([self.fill("00:00"), self.fill("0:00"), self.fill("0.00"), f"{rng.randrange(1, 13)} pm", str(rng.randrange(7, 22))]), "Y": lambda: str(rng.randrange(1850, 2030)),
             "m": lambda: rng.choice(["${}", "{} €", "{} EUR", "£{}", "{},50 €", "{}.00", "{} million"]).format(rng.choice([rng.randrange(2, 900), self.fill("0,000"), self.fill("00 000"), self.fill("0.000.000")])),
-            "R": lambda: self.fill(self.pick(REFERENCES)), "v": lambda: f"{rng.randrange(9)}.{rng.randrange(30)}" + rng.choice(["", f".{rng.randrange(9)}", "-beta", "rc1"]), "isbn": lambda: self.fill(rng.choice(["978-0-00-000000-0", "9780000000000", "0-000-00000-0"])),
+            "R": lambda: filled_up(self.fill(self.pick(REFERENCES)) if self.odds(0.6) else self.grouped_reference(), rng.choice([0, 0, 0, 0, 0, 1, 2, 3, 4, 5])), "v": lambda: ".".join(str(rng.randrange(rng.choice([4, 10, 30, 200, 2000]))) for _ in range(rng.choice([2, 2, 3, 3, 3, 4]))) + rng.choice(["", "", "", "", "-beta", "rc1"]), "isbn": lambda: self.fill(rng.choice(["978-0-00-000000-0", "9780000000000", "0-000-00000-0"])),
             "file": lambda: rng.choice(["{}@2x.png", "{}@3x.jpg", "{}_1.txt", "{}.zip", "{}@2.0.js", "{}@1x.svg"]).format(self.word() + rng.choice(["", str(rng.randrange(99))])), "w": self.word, "n3": lambda: self.fill("000"), "hex": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([4, 8, 16, 32]))), "rule": lambda: rng.choice("-=_*~.·#") * rng.randint(3, 40),
         }
         return str(simple[kind]())
@@ -709,6 +767,22 @@ class Writer:
         """A form of the parts above: most with a name or another value, some with none."""
         rng, lang = self.rng, self.lang
         before, after = self.pick(BEFORE[lang]), self.pick(AFTER[lang])
+        if self.odds(0.25):
+            before = self.pick(REQUESTS[lang])
+        if self.odds(0.5):
+            after = self.pick(OBJECTS[lang])
+            if self.odds(0.25):
+                kind = rng.choice("EPIAA")
+                after = f"{self.pick(TOWARDS[kind][lang])} <{kind}>" + (" " + after if self.odds(0.3) else "")
+            if lang in ("de", "nl", "es", "ru") and self.odds(0.35):  # the verb before its subject
+                before += " " + self.pick(VERBS[lang])
+            else:
+                after = self.pick(VERBS[lang]) + " " + after
+        if self.odds(0.1):
+            return self.pick(QUESTIONS[lang])
+        if self.odds(0.08):  # things, firms and towns in a row
+            both = {"en": "and", "de": "und", "fr": "et", "es": "y", "nl": "en", "ru": "и"}[lang]
+            return rng.choice(["<X>: <X>.", "<X>: <X>, <X>.", f"<X>, <X> {both} <X>.", f"{before} {after.lstrip(', ')}: <X>.", "<F>: <X>, <D>, <X>.", f"<T>, <T> {both} <T>: <X>", "<X>; <X>!", f"<F> {after.lstrip(', ')}", f"<F> {after.lstrip(', ')}"])
         draw = rng.random()
         if draw < 0.5:
             who = "<N>"
@@ -720,11 +794,11 @@ class Writer:
         elif draw < 0.72:
             kind = rng.choice("EPIA")
             form = f"{before if self.odds(0.7) else rng.choice(['<N>', '<T>', '<X>'])} {self.pick(TOWARDS[kind][lang])} <{kind}>"
-            form += " " + after.lstrip(", ") if self.odds(0.4) else ""
+            form += rng.choice([" ", " ", ", <T>", ", <T>, "]) + after.lstrip(", ") if kind == "A" and self.odds(0.4) else " " + after.lstrip(", ") if self.odds(0.4) else ""
         elif draw < 0.85:
             form = f"{before} {self.pick(ORDINARY_AFTER[lang])}" if self.odds(0.7) else self.pick(ORDINARY_AFTER[lang])
         else:
-            form = f"{rng.choice(['<T>', '<F>', '<X>', '<R>', '<D>', '<G>'])} {after.lstrip(', ')}"
+            form = f"{before + ' ' if self.odds(0.5) else ''}{rng.choice(['<T>', '<F>', '<X>', '<R>', '<D>', '<G>', '<T>', '<X>', '<n>', '<n> <X>'])} {after.lstrip(', ')}"
         if self.odds(0.25):
             form += rng.choice([", ", " and " if lang == "en" else ", "]) + self.pick(BEFORE[lang]) + " " + (rng.choice(["<N>", "<N>", "<T>", "<F>", "<X>"]))
         return form + rng.choice([".", ".", ".", "!", "?", "", "…"])
@@ -733,20 +807,24 @@ class Writer:
         """Some values one after another, as in a signature, a form, a line of a table or a log."""
         rng, parts = self.rng, []
         self.last = ("", "")
-        kinds = rng.sample("NEPIAR", rng.randint(1, 4)) if self.odds(0.7) else [rng.choice("NEPIAR")]
+        kinds = rng.sample("NEPIAR", rng.randint(1, 4)) if self.odds(0.6) else [rng.choice("NEPIAR")] if self.odds(0.7) else rng.choices("RRRDv", k=rng.randint(2, 4))
         if "N" in kinds and self.odds(0.6):
             kinds = ["N", *[k for k in kinds if k != "N"]]
         join = rng.choice([", ", ", ", "; ", "\n", "\n", "\n", " | ", " / ", ";", " - ", "\t", ",", " – ", " ("])
         closing = ")" if join == " (" else ""
-        labels, sign = rng.random(), rng.choice([": ", ": ", "=", " ", ": ", ":"])
+        labels, sign = rng.random(), rng.choice([": ", ": ", "=", " ", " ", " ", ":"])
         for n, kind in enumerate(kinds):
             parts.append((join if n else "", None))
-            if labels < 0.45 or (labels < 0.7 and self.odds(0.5)) or kind == "R" or len(kinds) == 1:
-                label = self.pick(LABELS[self.lang][kind])
-                parts.append(((label.lower() if sign == "=" else label) + sign, None))
+            if labels < 0.45 or (labels < 0.7 and self.odds(0.5)) or kind in "RDv" or len(kinds) == 1:
+                label = self.pick(LABELS[self.lang].get(kind) or {"D": "D.|", "v": "Version|Release|V.|Build|Rev."}[kind])
+                if self.odds(0.2):  # any other word
+                    label = self.pick(NOUNS[self.lang]).split()[0] if self.odds(0.5) else self.made("a|er|en|um|ik|al")
+                    label = label if self.lang == "de" or self.odds(0.5) else label.lower()
+                    label = cyrillic(label) if self.lang == "ru" else label
+                parts.append(((label.lower() if sign == "=" or self.odds(0.3) else label) + (sign if label else ""), None))
             if kind == "N" and self.odds(0.1):
                 parts.append((self.pick(TITLES[self.lang]) + " ", None))
-            parts.append((self.plain("R"), None) if kind == "R" else (self.value(kind), KIND[kind]))
+            parts.append((self.plain(kind), None) if kind in "RDv" else (self.value(kind), KIND[kind]))
             if closing and n:
                 parts.append((closing, None))
             if kind == "A" and self.odds(0.4):
@@ -756,6 +834,11 @@ class Writer:
         return parts
 
 
+def filled_up(number: str, zeros: int) -> str:
+    """A number with zeros as its first digits, as registers fill up short ones."""
+    return re.sub(r"\d", "0", number, count=zeros) if zeros > 0 and number[:1].isdigit() else number
+
+
 def cyrillic(text: str) -> str:
     table = dict(zip(LATIN, CYRILLIC))
     return "".join(c if c.lower() not in table else table[c.lower()].capitalize() if c.isupper() else table[c.lower()] for c in text)
@@ -781,7 +864,9 @@ def training_texts(size: int, seed: int, held_out: dict[str, list[str]] | None =
         for n in range(rng.randint(1, 4)):
             writer = Writer(rng, lang if rng.random() < 0.94 else rng.choice(LANGUAGES))
             form = rng.random()
-            if form < 0.3:
+            if held_out is None and text[-1:].isdigit() and rng.random() < 0.4:  # another number after one
+                parts = writer.frame(f"<n> {writer.pick(NOUNS[writer.lang])} {writer.pick(VERBS[writer.lang])} {writer.pick(OBJECTS[writer.lang])}.")
+            elif form < 0.3:
                 parts = writer.frame(rng.choice(personal[writer.lang]))
             elif form < 0.42 and held_out is None:
                 parts = writer.listed()

@@ -5,6 +5,7 @@ import pytest
 
 from held_out import held_out
 from pinloom.llm import crf
+from pinloom.llm.function_words import word_class
 from pinloom.llm.personal import KINDS, LABELS, find_all, find_personal, redact, redact_personal, skip_edges, tokenize, trained
 from pinloom.llm.personal_training import ORDINARY, PERSONAL, training_texts
 
@@ -40,6 +41,29 @@ def test_texts_of_forms_that_training_lacks(model):
     assert all(got[k][0] >= r and got[k][1] >= p for k, (r, p) in floors.items()), got
 
 
+def test_all_kinds_together_in_forms_that_training_lacks(model):
+    texts = training_texts(1500, 4242, held_out())
+    pairs = [(set(g), set(f)) for (_, g), f in zip(texts, find_all(model, [t for t, _ in texts]))]
+    hit = sum(len(g & f) for g, f in pairs)
+    assert hit >= 0.965 * sum(len(g) for g, _ in pairs) and hit >= 0.965 * sum(len(f) for _, f in pairs)
+
+
+def test_closed_classes_and_versions(model):
+    assert [word_class(w) for w in ("wenn", "that", "qu'il", "van", "oltwick")] == ["f", "f", "f", "p", ""]
+    text = "Puis Orvan Tesslow posa la lampe. Le pilote 8.14.302 échoue."
+    assert [(k, text[b:e]) for b, e, k in find_all(model, [text])[0]] == [("name", "Orvan Tesslow")]
+
+
+def test_fits_in_the_cluster_give_the_same_mean(spark):
+    from pinloom.llm.personal import MODELS
+
+    alone = MODELS.pop((150, 3, 2), None) or trained(150, 3, 2)
+    MODELS.pop((150, 3, 2), None)
+    together = trained(150, 3, 2, spark)
+    assert np.allclose(alone.weights, together.weights, atol=1e-6) and np.allclose(alone.skip, together.skip)
+    assert np.allclose(alone.transitions, together.transitions) and not np.array_equal(alone.weights, trained(150, 3, 1).weights)
+
+
 def test_values_in_sentences(model):
     text = "Kind regards,\nDr. Mirela O'Hartley\nFlat 3, 12 Copper Ave.\nTel. +44 (0)20 7946 0152 34 people waited in the hall."
     got = {(k, text[b:e]) for b, e, k in find_all(model, [text])[0]}
@@ -98,6 +122,20 @@ def test_chain_passes_agree_with_enumeration():
         assert tuple(crf.best_path(scores[None], lengths, m.transitions, m.begin)[0]) == max(paths, key=value)
 
 
+def test_expected_steps_agree_with_enumeration():
+    m, rng = small_field(1)
+    scores, lengths = rng.normal(size=(2, 4, 3)), np.array([4, 3])
+    forward, backward, z = crf.forward_backward(scores, lengths, m.transitions, m.begin)
+    want = np.zeros((3, 3))
+    for row, n in enumerate(lengths):
+        paths = list(product(range(3), repeat=int(n)))
+        weights = np.exp([m.begin[p[0]] + sum(scores[row, t, x] for t, x in enumerate(p)) + sum(m.transitions[a, b] for a, b in zip(p, p[1:])) for p in paths])
+        for p, w in zip(paths, weights / weights.sum()):
+            for a, b in zip(p, p[1:]):
+                want[a, b] += w
+    assert np.allclose(crf._steps(forward, scores + backward, z, lengths, m.transitions), want)
+
+
 def test_a_skip_edge_carries_evidence():
     m, _ = small_field(0)
     m.transitions = crf.allowed(m.labels)[0]
